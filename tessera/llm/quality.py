@@ -88,7 +88,9 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     f = e.select("*", left.alias("n_left"), failed.alias("base_failed"))
     lost = 100 * (F.col("n_words") - F.col("n_left")) > MAX_LOST_PERCENT * F.col("n_words")
-    return f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~lost).alias("kept"), "n_left", "clean_text", *[F.col("__keep")[c].alias(c) for c in keep])
+    judged = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~lost).alias("kept"), "n_left", "clean_text"]
+    # A generator keeps filters on these columns from being pushed down, where they'd be copied with all they are made of.
+    return f.select(F.inline(F.array(F.struct(*judged, *[F.col("__keep")[c].alias(c) for c in keep]))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import flac, quality, sharding
+from tessera.llm import flac, packing, quality, sharding
 
-QUERIES = {"op1_flac": flac.query, "op5_quality": quality.query, "op9_sharding": sharding.query}
+QUERIES = {"op1_flac": flac.query, "op5_quality": quality.query, "op9_sharding": sharding.query, "op10_packing": packing.query}
 ORACLES: dict[str, str] = {}
