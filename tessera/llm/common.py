@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -39,12 +40,14 @@ def _remove(spark: SparkSession, path: str) -> None:
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The files are removed when the driver exits.
+    The shuffle files behind it are let go once it is written; its own files are removed when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files when their plans are collected
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import flac, packing, quality, sharding, substrings
+from tessera.llm import flac, ngram_join, packing, quality, sharding, substrings
 
-QUERIES = {"op1_flac": flac.query, "op2_substrings": substrings.query, "op5_quality": quality.query, "op9_sharding": sharding.query, "op10_packing": packing.query}
+QUERIES = {"op1_flac": flac.query, "op2_substrings": substrings.query, "op4_ngram_join": ngram_join.query, "op5_quality": quality.query, "op9_sharding": sharding.query, "op10_packing": packing.query}
 ORACLES: dict[str, str] = {}
