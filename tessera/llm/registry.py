@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import flac, nbest, ngram_join, packing, pii, quality, sharding, substrings
+from tessera.llm import flac, langid, nbest, ngram_join, packing, pii, quality, sharding, substrings
 
-QUERIES = {"op1_flac": flac.query, "op2_substrings": substrings.query, "op3_nbest": nbest.query, "op4_ngram_join": ngram_join.query, "op5_quality": quality.query, "op7_pii": pii.query, "op9_sharding": sharding.query, "op10_packing": packing.query}
+QUERIES = {"op1_flac": flac.query, "op2_substrings": substrings.query, "op3_nbest": nbest.query, "op4_ngram_join": ngram_join.query, "op5_quality": quality.query, "op7_pii": pii.query, "op8_langid": langid.query, "op9_sharding": sharding.query, "op10_packing": packing.query}
 ORACLES: dict[str, str] = {}
