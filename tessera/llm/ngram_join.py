@@ -142,18 +142,37 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def bitmap(values: np.ndarray, words: int) -> np.ndarray:
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """A hashed signature of four bits or more a shingle, its length a power of two, so that halves can be folded."""
+    words = 1 << int(max(0, np.ceil(np.log2(max(1, 4 * len(values) / 64)))))
     bits = np.zeros(words * 64, np.uint8)
     bits[(values >> np.uint64(20)) % np.uint64(words * 64)] = 1
     return np.packbits(bits, bitorder="little").view("<u8")
 
 
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """The signature that the same set has at a smaller length."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
+def with_bitmaps(sets: DataFrame) -> DataFrame:
+    """``sets(rep, n, body)`` with ``bits``."""
+
+    def run(batches):
+        for batch in batches:
+            made = [bitmap(np.frombuffer(b.as_buffer(), "<u8")).tobytes() for b in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=["rep", "n", "body", "bits"])
+
+    return sets.select("rep", "n", "body").mapInArrow(run, "rep long, n long, body binary, bits binary")
+
+
 def tile_pairs(table: pa.Table, percent: int) -> pa.Table:
     """Pairs of different components in a tile (or a pair of its blocks) whose bitmaps let them reach the threshold."""
     doc, n, comp = (np.array(table[c].to_pylist(), dtype=np.int64) for c in ("rep", "n", "comp"))
     guest, side, blocks = np.array(table["guest"].to_pylist(), bool), np.array(table["block"].to_pylist()), (table["i"][0].as_py(), table["j"][0].as_py())
-    words = 1 << int(max(0, np.ceil(np.log2(max(1, 4 * n.max() / 64)))))
-    bits = np.stack([bitmap(np.frombuffer(b.as_buffer(), "<u8"), words) for b in table["body"]])
+    given = [np.frombuffer(b.as_buffer(), "<u8") for b in table["bits"]]
+    words = min(map(len, given))
+    bits = np.stack([fold(b, words) for b in given])
     out_a, out_b = [], []
     for r in range(len(doc)):
         m = ~guest | (not guest[r])
@@ -185,11 +204,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
     met = meets.join(shared, "token").select("token", "rep", "n", "own", band.alias("b"))
     tiles = met.select("token", "rep", "n", "own", F.explode(F.array(F.struct(F.col("b").alias("tile"), F.lit(False).alias("guest")), F.struct((F.col("b") + 1).alias("tile"), F.lit(True).alias("guest")))).alias("t")).select("token", "t.tile", "t.guest", "rep", "n", "own")
-    hubs = tiles.groupBy("token", "tile").agg(F.min(F.struct("own", "rep", "n")).alias("hub"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min(F.col("guest")).alias("idle")).filter("lo < hi and not idle").select("token", "tile", "hub")
+    h = F.xxhash64("rep", "guest")
+    # Tiles with the same members (most shingles of a passage have the same) are one.
+    members = tiles.groupBy("token", "tile").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(h).alias("h1"), F.sum(h.cast("decimal(20,0)")).alias("h2"), F.min(F.struct("own", "rep", "n")).alias("hub"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min("guest").alias("idle"))
+    hubs = members.filter("lo < hi and not idle").groupBy("tile", "m", "h1", "h2").agg(F.min("token").alias("token"), F.min("hub").alias("hub")).select("token", "tile", "hub")
     tiles = stash(tiles.join(hubs, ["token", "tile"]), "tiles")
     compatible = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent
     spokes = tiles.filter((F.col("rep") != F.col("hub.rep")) & compatible).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-    needed = stash(with_rep.join(tiles.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "body"), "bodies")
+    needed = stash(with_bitmaps(with_rep.join(tiles.select("rep").distinct(), "rep", "left_semi")), "bodies")
     links = stash(verify(spokes, needed, percent), "links")
     comps = connected_components(links)
     settled = tiles.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "tile", "guest", "rep", "n", F.coalesce("component", "rep").alias("comp"))
@@ -197,7 +219,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     dealt = settled.join(open_tiles, ["token", "tile"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
     others = F.sequence(F.lit(0), F.col("k") - 1)
     blocked = dealt.withColumn("other", F.explode(others)).select("token", "tile", "guest", "rep", "n", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    blocked = blocked.join(needed.select("rep", "body"), "rep")
+    blocked = blocked.join(needed.select("rep", "bits"), "rep")
     more = blocked.groupBy("token", "tile", "i", "j").applyInArrow(lambda t: tile_pairs(t, percent), "a long, b long").distinct().join(spokes, ["a", "b"], "left_anti")
     links = links.unionByName(stash(verify(more, needed, percent), "links"))
     comps = connected_components(links)
