@@ -31,6 +31,8 @@ CACHE_UNITS = 300_000
 SIDE_BY_SIDE_LENGTH = 24
 _NONE = -(1 << 60)
 _UNITS = re.compile("\n| *[^ \n]+| +")
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_BATCH_CHARS = 3_000_000
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,6 +180,13 @@ class Encoder:
         self.model, self.n, self.limit = Model(path), n, limit
         self._clear()
 
+    @classmethod
+    def of_worker(cls, path: str, n: int) -> Encoder:
+        """The encoder of this Python worker: its cache outlives a task."""
+        if (path, n) not in _ENCODERS:
+            _ENCODERS[path, n] = cls(path, n)
+        return _ENCODERS[path, n]
+
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.searched: dict[str, list[tuple[int, list[int]]]] = {}
@@ -246,11 +255,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
         return zlib.crc32(ids.astype("<u4").tobytes())
 
     def run(batches):
-        encoder = Encoder(path, n)
+        encoder = Encoder.of_worker(path, n)
         for batch in batches:
-            for a in range(0, batch.num_rows, 250):
-                part = batch.slice(a, 250)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+            a = 0
+            while a < batch.num_rows:
+                texts, size = [], 0
+                while a + len(texts) < batch.num_rows and (not texts or size < _BATCH_CHARS):
+                    texts.append(batch.column(1)[a + len(texts)].as_py() or "")
+                    size += len(texts[-1])
+                part = batch.slice(a, len(texts))
+                a += len(texts)
                 coded = encoder.encode(texts)
                 arrays = [
                     part.column(0),
