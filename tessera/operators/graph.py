@@ -107,13 +107,14 @@ def _small_components(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """``(node, component)`` of the strongly connected components of more than one node; the component is its smallest node.
 
-    What is left after trimming is done in one task if it has at most ``small`` edges, else by
+    A table of at most ``small`` edges is done in one task, a larger one by
     colouring (Orzan, 2004): after trimming, each node takes the largest node that reaches it as its colour; walking back
     from that node inside its colour gives its component, which is removed. Every step is a join or an aggregate.
     """
-    left = _trim(cut(edges.select("source", "target").filter("source <> target").distinct()))
+    left = cut(edges.select("source", "target").filter("source <> target").distinct())
     if left.count() <= small:
         return _small_components(left)
+    left = _trim(left)
     found = None
     while not left.isEmpty():
         colour = left.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("colour", F.col("node"))
