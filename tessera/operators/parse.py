@@ -231,7 +231,7 @@ SPECS = {
     "java": {
         "containers": r"(?P<vis>(?:\b(?:public|protected|private|static|final|abstract|sealed)\s+)*)\b(?:class|interface|enum|record)\s+(?P<name>\w+)",
         "functions": r"(?m)(?:^|[{};])\s*(?:@\w+(?:\([^)]*\))?\s*)*(?P<vis>(?:(?:public|protected|private|static|final|abstract|synchronized|native|default)\s+)*)(?:<[^>]+>\s+)?(?:[\w.<>\[\],?]+\s+)?(?P<name>\w+)\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:throws\s+[\w.,\s]+)?\{",
-        "decisions": r"\b(?:if|for|while|case|catch|do)\b|&&|\|\||(?<![<,?\w\s])\s*\?\s*(?=[\w(])",
+        "decisions": r"\b(?:if|for|while|case|catch|do)\b|&&|\|\||(?<![<,\s])\s*\?(?!\s*(?:extends|super)\b|\s*[>,])",
     },
 }
 # Fixed: packages of the platform.
@@ -299,7 +299,7 @@ def parse_generic(language: str, path: str, content: str) -> dict:
         for m in re.finditer(r"(?m)^\s*(?:unsafe\s+)?impl\b(?:<[^{]*?>)?\s*(?:[\w:<>,'&\s]+?\s+for\s+)?&?(?:\w+::)*(?P<name>\w+)[^{;]*\{", masked):
             owners.append((m.start(), _close(masked, m.end() - 1), m["name"]))
     for m in re.finditer(spec["functions"], masked):
-        if m["name"] in _CONTROL:
+        if language == "java" and m["name"] in _CONTROL:
             continue
         brace, semi = masked.find("{", m.end() - 1), masked.find(";", m.end())
         body = brace if brace >= 0 and (semi < 0 or brace < semi or language != "rust") else -1

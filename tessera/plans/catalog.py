@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.functions import dims
-from tessera.operators import domains, graph, history, summary, text, viz
+from tessera.operators import domains, graph, history, parse, summary, text, viz
 from tessera.plans import adapters as A
+from tessera.plans import samples
+from tessera.plans.project import AnalyzeOptions, Project
+from tessera.streaming import activity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,7 +78,7 @@ def churn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.churn(A.order_commits(spark, sf_dir))
 
 
-_TIMES = """e as (select event_type, user_id, epoch_ms(ts) ts from events), w as (select min(ts) lo, case when max(ts) <= min(ts) then min(ts) + 86400000 else max(ts) end hi from e),
+_TIMES = """e as (select event_type, user_id, (epoch_us(ts) // 1000) ts from events), w as (select min(ts) lo, case when max(ts) <= min(ts) then min(ts) + 86400000 else max(ts) end hi from e),
 p as (select e.*, cast(greatest(0, least(47, floor((ts - lo) / (hi - lo) * 48))) as int) bucket from e, w)"""
 
 
@@ -333,7 +336,7 @@ def _document_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return nodes.unionByName(tops, allowMissingColumns=True), imports.unionByName(belongs)
 
 
-_PICKS = "n as (select event_id, epoch_ms(ts) moment, row_number() over (order by event_id) - 1 pos, count(*) over () - 1 last from events), k as (select distinct floor(r.range * last / 19.0 + 0.5)::bigint pos from range(20) r, (select distinct last from n)), p as (select n.* from n join k on k.pos = n.pos)"
+_PICKS = "n as (select event_id, (epoch_us(ts) // 1000) moment, row_number() over (order by event_id) - 1 pos, count(*) over () - 1 last from events), k as (select distinct floor(r.range * last / 19.0 + 0.5)::bigint pos from range(20) r, (select distinct last from n)), p as (select n.* from n join k on k.pos = n.pos)"
 
 
 @query(f"with {_PICKS} select event_id, moment from p")
@@ -342,7 +345,7 @@ def pick_evenly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.pick_evenly(items, "event_id", 20)
 
 
-@query(f"with {_PICKS}, c as (select e.event_id, abs(p.moment - epoch_ms(e.ts)) gap, p.event_id point from events e, p) select event_id, min(gap) gap, arg_min(point, (gap, point)) point from c group by 1")
+@query(f"with {_PICKS}, c as (select e.event_id, abs(p.moment - (epoch_us(e.ts) // 1000)) gap, p.event_id point from events e, p) select event_id, min(gap) gap, arg_min(point, (gap, point)) point from c group by 1")
 def nearest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     moments = A.table(spark, sf_dir, "events").select("event_id", A.millis("ts").alias("ts"))
     points = pick_evenly(spark, sf_dir).select(F.col("event_id").alias("pos"), F.col("moment").alias("at"))
@@ -356,3 +359,76 @@ def codemap_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = A.table(spark, sf_dir, "nation")
     sections = n.select(F.col("n_regionkey").alias("rank"), F.col("n_nationkey").alias("pos"), F.expr("repeat(concat(n_name, ' '), n_nationkey + 1)").alias("text"), F.col("n_name").alias("name"))
     return viz.within_budget(sections, 300, 18).select("rank", "pos", "name")
+
+
+def _sample(spark: SparkSession) -> Project:
+    return Project(spark, samples.frame(spark), AnalyzeOptions("demo", samples.CONFIG)).analyze()
+
+
+def _parsed(spark: SparkSession, languages: list[str]) -> DataFrame:
+    files = text.admit(samples.frame(spark)).filter(F.col("language").isin(languages))
+    return parse.parse(files).select("path", "complexity", "doc_coverage", F.size("imports").alias("n_imports"), F.explode_outer("symbols").alias("s")).select("path", "complexity", "doc_coverage", "n_imports", "s.name", "s.kind", "s.line", "s.end_line", "s.exported", "s.documented")
+
+
+@query()
+def parse_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, ["python"])
+
+
+@query()
+def parse_javascript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, dims.JS_LIKE)
+
+
+@query()
+def parse_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, ["go", "rust", "java"])
+
+
+@query()
+def resolve_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark).imports.select("path", "specifier", "kind", "resolved")
+
+
+@query()
+def resolve_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark).edges.filter("type = 'calls'").select("source", "target")
+
+
+@query()
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark).nodes
+
+
+@query()
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark).edges
+
+
+@query()
+def find_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark).find_symbol("SUM")
+
+
+@query()
+def describe_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark).describe_file("web/math.js").select("path", "loc", "complexity", "imports", "imported_by")
+
+
+@query()
+def codemap_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(_sample(spark).overview("full"),)], "markdown string")
+
+
+@query()
+def louvain_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the documents' links, a project for each language."""
+    d = A.document_files(spark, sf_dir).select(F.element_at(F.split("path", "/"), 2).alias("project"), "path")
+    imports = _document_imports(spark, sf_dir).withColumn("project", F.element_at(F.split("source", "/"), 2))
+    return domains.by_imports(d, imports)
+
+
+@query("select event_type, time_bucket(interval '1 hour', ts) hour_start, count(*) n from events group by 1, 2")
+def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming activity counts, run over the whole table as one stream."""
+    return activity.run_once(spark, f"{sf_dir}/events.parquet", "ts", "event_type").select("event_type", F.col("hour_start").cast("timestamp_ntz").alias("hour_start"), "n")
