@@ -16,7 +16,9 @@ Nulls and empty texts are the single id 0. Repeated rows are packed as often as
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,33 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_SAFE = re.compile(rb"[^0-9<]*\Z")
+_JOINED = 400
+_CACHES: dict[str, WordCache] = {}
+_LETTER, _SPACE, _MARKS = (np.isin(np.arange(256), list(x)) for x in (b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\x20\x09\x0a\x0b\x0c\x0d", b".,"))
+
+
+def split_words(texts: list[str | None]) -> list[list[bytes]]:
+    """The words of each text that are encoded one by one.
+
+    ASCII capitals are lowered as the tokenizer does, but for texts with ``<|``. A full stop or comma after an ASCII
+    letter and before white space is a token group of its own, so it is split off: far fewer distinct words.
+    """
+    raw = [(t or "").encode("utf-8") for t in texts]
+    raw = [t if b"<|" in t else t.lower() for t in raw]
+    joined = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+    at = np.flatnonzero(_MARKS[joined[1:-1]] & _LETTER[joined[:-2]] & _SPACE[joined[2:]]) + 1
+    spaced = np.insert(joined, at, 32).tobytes()
+    ends = np.cumsum([0, *(len(t) + 1 for t in raw)])
+    ends += np.searchsorted(at, ends)
+    return [spaced[a:b].split() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 class WordCache:
-    """Token ids of ASCII-white-space-delimited words; unseen words of a batch are encoded together.
+    """Token ids of words; unseen words of a batch are encoded together, joined by a word with a single id.
 
-    It is emptied when it exceeds ``limit`` words, which bounds memory and changes no result.
+    It lives as long as its Python worker, and is emptied when it exceeds ``limit`` words, which bounds memory and
+    changes no result.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
@@ -47,28 +72,63 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.separator = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.clear()
 
+    @classmethod
+    def of_worker(cls, path: str) -> WordCache:
+        if path not in _CACHES:
+            _CACHES[path] = cls(path)
+        return _CACHES[path]
+
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.ids, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def _one_by_one(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        self.starts = np.concatenate((self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)))
+        self.ids, self.sizes = np.concatenate((self.ids, flat)), np.concatenate((self.sizes, sizes.astype(np.int32)))
+
+    def learn(self, words: list[bytes]) -> None:
+        safe, odd = [], []
+        for w in words:
+            (safe if _SAFE.match(w) and len(self.separator) == 1 else odd).append(w)
+        groups = [safe[i : i + _JOINED] for i in range(0, len(safe), _JOINED)]
+        coded = self.tokenizer.encode_batch_fast([b" 0 ".join([*g, b""]).decode("utf-8") for g in groups], add_special_tokens=False) if groups else []
+        flats, sizes, known = [], [], []
+        for g, e in zip(groups, coded, strict=True):
+            ids = np.array(e.ids, dtype=np.uint32)
+            ends = np.flatnonzero(ids == self.separator[0])
+            if len(ends) != len(g):
+                odd += g
+                continue
+            known += g
+            flats.append(ids[ids != self.separator[0]])
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        if odd:
+            lists = self._one_by_one(odd)
+            known += odd
+            flats.append(np.fromiter((i for c in lists for i in c), np.uint32))
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        self._learn(known, np.concatenate(flats), np.concatenate(sizes))
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the words on end, and how many each has."""
         if len(self.index) > self.limit:
             self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
-        if new:
-            coded = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            flat = np.fromiter((i for c in coded for i in c), np.uint32, int(sizes.sum()))
-            self.index.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
-            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
-            self.ids, self.sizes = np.concatenate((self.ids, flat)), np.concatenate((self.sizes, sizes))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            unseen = [words[i] for i in missing]
+            self.learn(list(dict.fromkeys(unseen)))
+            at[missing] = np.fromiter(map(self.index.__getitem__, unseen), np.int32, len(unseen))
         sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        flat = self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        flat = self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
         return flat, sizes
 
 
@@ -78,15 +138,16 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        cache = WordCache(path)
+        cache = WordCache.of_worker(path)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             at = 0
             while at < len(ids):
-                group, size = [], 0
-                while at + len(group) < len(ids) and (not group or size < 1_000_000):
-                    group.append((texts[at + len(group)].as_py() or "").encode("utf-8").split())
-                    size += sum(map(len, group[-1]))
+                part, size = [], 0
+                while at + len(part) < len(ids) and (not part or size < 1_000_000):
+                    part.append(texts[at + len(part)].as_py())
+                    size += len(part[-1] or "")
+                group = split_words(part)
                 flat, sizes = cache.encode([w for words in group for w in words])
                 ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, group)])]
                 rows = []
@@ -191,7 +252,7 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def complete_bins(counts: np.ndarray, capacity: int, node_limit: int = 5_000) -> tuple[Plan, int]:
+def complete_bins(counts: np.ndarray, capacity: int, node_limit: int = 1_000) -> tuple[Plan, int]:
     """A packing of the histogram and the lower bound that it is measured against."""
     counts = counts.astype(np.int64)
     bound = lower_bound(counts, capacity)
@@ -232,7 +293,7 @@ def complete_bins(counts: np.ndarray, capacity: int, node_limit: int = 5_000) ->
     return incumbent, bound
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, node_limit: int = 5_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, node_limit: int = 1_000) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with ``sequence_id`` and ``offset``. ``pieces`` is read twice: give a table."""
     spark = pieces.sparkSession
     total = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `capacity` rows
