@@ -106,7 +106,7 @@ def _send(chunk: int, keys: np.ndarray, buckets: int, columns: list[np.ndarray])
     """Messages to the buckets of sorted 64-bit keys: equal spans of the key space, so a bucket's keys lie together."""
     bucket = (keys >> np.uint64(32)).astype(np.int64) * buckets >> 32
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(keys) else np.empty(0, int)
-    ends = np.append(cuts[1:], len(keys))
+    ends = np.append(cuts[1:], len(keys)) if len(keys) else cuts
     bodies = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts, ends, strict=True)]
     return pa.RecordBatch.from_arrays(
         [pa.array(bucket[cuts], pa.int64()), pa.array(np.full(len(cuts), chunk), pa.int64()), pa.array(ends - cuts, pa.int32()), pa.array(bodies, pa.binary())],
