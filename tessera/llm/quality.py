@@ -49,7 +49,7 @@ def _joined_lines(lines: Column) -> Column:
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Counts, the two verdicts and ``clean_text`` (failing lines removed) of each row; ``keep`` names columns to carry along."""
+    """Counts, the two verdicts and ``clean_text`` (failing lines removed) of each row; ``keep`` names columns to carry along, in the struct ``carried`` (their names may clash)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("__text"), F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in keep]).alias("__keep"))
     a = base.select("*", words_of(F.col("__text")).alias("__words"), F.split(F.col("__text"), "\n", -1).alias("__lines"))
@@ -90,7 +90,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     lost = 100 * (F.col("n_words") - F.col("n_left")) > MAX_LOST_PERCENT * F.col("n_words")
     judged = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~lost).alias("kept"), "n_left", "clean_text"]
     # A generator keeps filters on these columns from being pushed down, where they'd be copied with all they are made of.
-    return f.select(F.inline(F.array(F.struct(*judged, *[F.col("__keep")[c].alias(c) for c in keep]))))
+    return f.select(F.inline(F.array(F.struct(*judged, *[F.col("__keep").alias("carried") for _ in keep[:1]]))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -103,4 +103,4 @@ def keep_clean(docs: DataFrame) -> DataFrame:
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     passed = assess(docs, keep=rest).filter("kept")
     made = {"text": F.col("clean_text"), "n_chars": F.char_length("clean_text").cast("long")}
-    return passed.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+    return passed.select(*[made[c].alias(c) if c in made else F.col("doc_id") if c == "doc_id" else F.col("carried")[c].alias(c) for c in docs.columns])
