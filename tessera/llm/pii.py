@@ -31,7 +31,7 @@ GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){1
 #: Identifier-shaped words: key-like strings of 16 or more with digits and letters, and long numbers with separators.
 INSTANCE = r'(?<![A-Za-z0-9_@.+/-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{8,}+(?![A-Za-z0-9_@]|\.[A-Za-z0-9])'
 INSTANCE_GATE = r"[A-Za-z0-9_-]{8}"
-CONTEXT_WORDS = 3
+CONTEXT_WORDS = 2
 ROUNDS = 3
 MIN_PATTERN_SCORE = 0.5
 MIN_INSTANCES = 2
@@ -103,13 +103,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def with_context(m: Column, seed: Column) -> Column:
         before = F.substring(F.col("t"), F.greatest(m["start"] - (CONTEXT_CHARS - 1), F.lit(1)), F.least(m["start"], F.lit(CONTEXT_CHARS)))
-        left = F.lower(F.regexp_extract(before, rf"((?:\S+\s+){{0,{CONTEXT_WORDS - 1}}}\S+\s*)\z", 1))
+        plain = F.regexp_replace(F.lower(before), r"[^\p{L}\p{N}:=]+", " ")  # marks between the words are no part of a pattern
+        left = F.regexp_extract(plain, rf"((?:\S+ ){{0,{CONTEXT_WORDS - 1}}}\S+) ?\z", 1)
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), left.alias("context"), seed.alias("seed"))
 
     seeds = F.transform("base", lambda m: with_context(m, F.lit(True)))
     named = F.transform("loose", lambda m: with_context(m, F.lit(False)))
     f = e.select("doc_id", F.xxhash64("t").alias("text_hash"), *KINDS, F.concat(seeds, named).alias("instances"))
-    secret = rf"{SECRET_NAMES}\s*[:=]\s*[\"']?\z"
+    secret = rf"{SECRET_NAMES} ?[:=]\z"
     g = f.select("doc_id", "text_hash", *KINDS, F.transform("instances", lambda m: m.withField("seed", m["seed"] | m["context"].rlike(secret))).alias("instances"))
     return stash(g.select(F.monotonically_increasing_id().alias("row"), "*"), "found")
 
