@@ -64,11 +64,13 @@ class Model:
             raise ValueError("pieces of this model reach across units")
         self.longest = max(map(len, self.pieces))
         self.fallback = min(s for _, s in self.pieces.values()) - 10_000_000
-        keys = np.array([self._hash(p) for p in self.pieces], dtype=np.uint64)
+        # every prefix of a piece by its hash, with the piece's id (or -1) and score: a lookup also tells whether to go on
+        prefixes = dict.fromkeys(p[:n] for p in self.pieces for n in range(1, len(p) + 1))
+        keys = np.array([self._hash(p) for p in prefixes], dtype=np.uint64)
         by = np.argsort(keys)
         self.keys = keys[by]
-        self.key_ids = np.array([i for i, _ in self.pieces.values()], dtype=np.int64)[by]
-        self.key_scores = np.array([s for _, s in self.pieces.values()], dtype=np.int64)[by]
+        self.key_ids = np.array([self.pieces.get(p, (-1, 0))[0] for p in prefixes], dtype=np.int64)[by]
+        self.key_scores = np.array([self.pieces.get(p, (-1, _NONE))[1] for p in prefixes], dtype=np.int64)[by]
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -110,63 +112,78 @@ class Model:
                 heapq.heappush(heap, (-(g + s + forward[i]), (*path, edge), i, g + s))
         return found
 
-    def score_units(self, units: list[str]) -> list[tuple[list[int], int, int]]:
-        """(best edges, best score, second best score or none) of units, those of one length side by side."""
-        out: list = [None] * len(units)
-        groups: dict[int, list[int]] = {}
-        for k, u in enumerate(units):
-            groups.setdefault(len(u), []).append(k)
-        for length, at in groups.items():
-            if length > SIDE_BY_SIDE_LENGTH:
-                for k in at:
-                    two = self.search(units[k], 2)
-                    out[k] = (two[0][1], two[0][0], two[1][0] if len(two) > 1 else _NONE)
-                continue
-            cp = np.array([list(map(ord, units[k])) for k in at], dtype=np.uint64).reshape(len(at), length)
-            ids, scores = {}, {}
-            for i in range(length):
-                h = np.zeros(len(at), dtype=np.uint64)
-                for j in range(i + 1, min(length, i + self.longest) + 1):
-                    h = (h + cp[:, j - 1] + np.uint64(1)) * _HASH
-                    h ^= h >> np.uint64(29)
-                    p = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                    hit = self.keys[p] == h
-                    if j == i + 1:
-                        ids[i, j] = np.where(hit, self.key_ids[p], self.size + cp[:, i].astype(np.int64))
-                        scores[i, j] = np.where(hit, self.key_scores[p], self.fallback)
-                    elif hit.any():
-                        ids[i, j], scores[i, j] = self.key_ids[p], np.where(hit, self.key_scores[p], _NONE)
-            forward, back = [np.zeros(len(at), dtype=np.int64)], [None] * (length + 1)
-            for j in range(1, length + 1):
-                forward.append(np.max([forward[i] + s for (i, e), s in scores.items() if e == j], axis=0))
-            back[length] = np.zeros(len(at), dtype=np.int64)
-            for i in range(length - 1, -1, -1):
-                back[i] = np.max([s + back[e] for (b, e), s in scores.items() if b == i], axis=0)
-            best = forward[length]
-            # walk back along the best path, the smallest id among equals
-            pos, taken = np.full(len(at), length), []
-            on_path = {k: np.zeros(len(at), bool) for k in scores}
-            for j in range(length, 0, -1):
-                here = pos == j
-                if not here.any():
-                    continue
-                low, start = np.full(len(at), 1 << 40), np.zeros(len(at), dtype=np.int64)
-                for (i, e), s in scores.items():
-                    if e == j:
-                        better = (forward[i] + s == forward[j]) & (ids[i, e] < low)
-                        low, start = np.where(better, ids[i, e], low), np.where(better, i, start)
-                for i, e in scores:
-                    if e == j:
-                        on_path[i, e] = here & (start == i)
-                taken.append(np.where(here, low, -1))
-                pos = np.where(here, start, pos)
-            second = np.full(len(at), _NONE, dtype=np.int64)
-            for (i, e), s in scores.items():
-                second = np.maximum(second, np.where(on_path[i, e], _NONE, np.maximum(forward[i] + s + back[e], _NONE)))
-            paths = np.stack(taken[::-1], axis=1) if taken else np.empty((len(at), 0), np.int64)
-            for r, k in enumerate(at):
-                out[k] = ([int(x) for x in paths[r] if x >= 0], int(best[r]), int(second[r]) if second[r] > _NONE // 2 else _NONE)
-        return out
+    def score_units(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(units in another order, ids of their best segmentations on end, how many each has, best and second best
+        scores), those of one length side by side. ``_NONE`` where there is no second segmentation."""
+        groups: dict[int, list[str]] = {}
+        for u in units:
+            groups.setdefault(len(u), []).append(u)
+        parts = [self._score_long(g) if length > SIDE_BY_SIDE_LENGTH else self._score_group(g, length) for length, g in groups.items()]
+        return [u for g in groups.values() for u in g], *(np.concatenate([p[i] for p in parts]) for i in range(4))
+
+    def _spell_all(self, paths: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        spelt = [[i for e in edges for i in self.spell(e)] for edges in paths]
+        return np.array([i for s in spelt for i in s], dtype=np.int64), np.array([len(s) for s in spelt], dtype=np.int64)
+
+    def _score_long(self, units: list[str]):
+        two = [self.search(u, 2) for u in units]
+        return *self._spell_all([t[0][1] for t in two]), np.array([t[0][0] for t in two], dtype=np.int64), np.array([t[1][0] if len(t) > 1 else _NONE for t in two], dtype=np.int64)
+
+    def _score_group(self, units: list[str], length: int):
+        n = len(units)
+        cp = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32).reshape(n, length).T.astype(np.uint64)
+        into: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(length + 1)]
+        for i in range(length):
+            rows, h = None, np.zeros(n, dtype=np.uint64)
+            for j in range(i + 1, min(length, i + self.longest) + 1):
+                h = (h + (cp[j - 1] if rows is None else cp[j - 1][rows]) + np.uint64(1)) * _HASH
+                h ^= h >> np.uint64(29)
+                p = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                hit = self.keys[p] == h
+                ids, scores = self.key_ids[p], self.key_scores[p]
+                good = hit & (ids >= 0)
+                if j == i + 1:
+                    into[j].append((i, np.where(good, ids, self.size + cp[i].astype(np.int64)), np.where(good, scores, self.fallback)))
+                elif good.any():
+                    if rows is None:
+                        into[j].append((i, ids, np.where(good, scores, _NONE)))
+                    else:
+                        all_ids, all_scores = np.zeros(n, dtype=np.int64), np.full(n, _NONE, dtype=np.int64)
+                        all_ids[rows], all_scores[rows] = ids, np.where(good, scores, _NONE)
+                        into[j].append((i, all_ids, all_scores))
+                if not hit.all():  # go on only where a piece may begin so
+                    rows, h = (np.flatnonzero(hit) if rows is None else rows[hit]), h[hit]
+                    if not len(rows):
+                        break
+        forward = [np.zeros(n, dtype=np.int64)]
+        for j in range(1, length + 1):
+            best = forward[into[j][0][0]] + into[j][0][2]
+            for i, _, s in into[j][1:]:
+                np.maximum(best, forward[i] + s, out=best)
+            forward.append(best)
+        back = [np.full(n, _NONE, dtype=np.int64) for _ in range(length)] + [np.zeros(n, dtype=np.int64)]
+        for j in range(length, 0, -1):
+            for i, _, s in into[j]:
+                np.maximum(back[i], s + back[j], out=back[i])
+        # walk back along the best path, the smallest id among equals; edges off it give the second best score
+        pos, taken, second = np.full(n, length), [], np.full(n, _NONE, dtype=np.int64)
+        for j in range(length, 0, -1):
+            here = pos == j
+            low, start = np.full(n, 1 << 40), np.zeros(n, dtype=np.int64)
+            for i, ids, s in into[j]:
+                better = (forward[i] + s == forward[j]) & (ids < low)
+                low, start = np.where(better, ids, low), np.where(better, i, start)
+            for i, _, s in into[j]:
+                through = forward[i] + s + back[j]
+                np.maximum(second, np.where(here & (start == i), _NONE, through), out=second)
+            taken.append(np.where(here, low, -1))
+            pos = np.where(here, start, pos)
+        paths = np.stack(taken[::-1], axis=1)
+        used = paths >= 0
+        flat, sizes = paths[used], used.sum(axis=1)
+        if (flat >= self.size).any():
+            flat, sizes = self._spell_all([[x for x in row if x >= 0] for row in paths.tolist()])
+        return flat, sizes, forward[length], np.where(second > _NONE // 2, second, _NONE)
 
     def decode(self, ids) -> str:
         """The text of piece ids, without the space that encoding puts first."""
@@ -199,15 +216,13 @@ class Encoder:
         new = [u for u in dict.fromkeys(units) if u not in self.index]
         if not new:
             return
-        scored = self.model.score_units(new)
-        spelt = [[i for e in edges for i in self.model.spell(e)] for edges, _, _ in scored]
-        sizes = np.fromiter(map(len, spelt), np.int64, len(spelt))
-        self.index.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+        ordered, ids, sizes, best, second = self.model.score_units(new)
+        self.index.update(zip(ordered, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for s in spelt for i in s), np.int32, int(sizes.sum()))))
+        self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
         self.sizes = np.concatenate((self.sizes, sizes))
-        self.best = np.concatenate((self.best, np.array([b for _, b, _ in scored], dtype=np.int64)))
-        self.regret = np.concatenate((self.regret, np.array([b - s if s > _NONE else 1 << 59 for _, b, s in scored], dtype=np.int64)))
+        self.best = np.concatenate((self.best, best))
+        self.regret = np.concatenate((self.regret, np.where(second > _NONE, best - second, 1 << 59)))
 
     def encode(self, texts: list[str]) -> list[list[tuple[int, np.ndarray]]]:
         """The N best (score, ids) of each text."""

@@ -195,8 +195,9 @@ def test_nbest_against_brute_force():
     for unit in (" the", " world", "  a", "\n", "ñaé", " erth", "☃x", "   ", " thanon"):
         best = every(unit)
         assert [(-s, list(p[::-1])) for s, p in best[:4]] == m.search(unit, 4)
-        edges, score, second = m.score_units([unit])[0]
-        assert (edges, score) == (list(best[0][1][::-1]), -best[0][0]) and second == (-best[1][0] if len(best) > 1 else nbest._NONE)
+        units, ids, sizes, score, second = m.score_units([unit])
+        assert units == [unit] and ids.tolist() == [i for e in best[0][1][::-1] for i in m.spell(e)] and sizes.sum() == len(ids)
+        assert score[0] == -best[0][0] and second[0] == (-best[1][0] if len(best) > 1 else nbest._NONE)
 
 
 def test_nbest_operator(spark):
