@@ -32,3 +32,7 @@ def test_query_equals_oracle(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["a", "b", "shared", "coupling"]
+
+
+def test_whole_catalog_is_registered():
+    assert set(CORE) <= set(entry.queries()) and len(CORE) >= 36
