@@ -139,10 +139,10 @@ def by_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
             for p in paths:
                 by[found[p]].append(p)
             named = [(p, f"{i:06d}") for i, g in enumerate(absorb_singles(sorted(by.values(), key=lambda g: (-len(g), g[0])))) for p in g]
-        project = left["project"].iloc[0] if len(left) else ""
-        return pd.DataFrame([(project, p, d) for p, d in named] if len(left) else [], columns=["project", "path", "domain"])
+        return pd.DataFrame([(left["project"].iloc[0], p, d) for p, d in named], columns=["project", "path", "domain"])
 
-    return files.select("project", "path").groupBy("project").cogroup(imports.select("project", "source", "target").groupBy("project")).applyInPandas(groups, "project string, path string, domain string")
+    known = imports.select("project", "source", "target").join(files.select("project").distinct(), "project", "left_semi")
+    return files.select("project", "path").groupBy("project").cogroup(known.groupBy("project")).applyInPandas(groups, "project string, path string, domain string")
 
 
 def detail(members: DataFrame, files: DataFrame, imports: DataFrame) -> DataFrame:

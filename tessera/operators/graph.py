@@ -99,7 +99,8 @@ def _small_components(edges: DataFrame) -> DataFrame:
     def run(batches):
         rows = [pair for b in batches for pair in zip(b["source"].tolist(), b["target"].tolist(), strict=True)]
         found = tarjan(rows)
-        yield pd.DataFrame({"node": list(found), "component": list(found.values())})
+        if found:
+            yield pd.DataFrame({"node": list(found), "component": list(found.values())})
 
     return edges.coalesce(1).mapInPandas(run, f"node {kind}, component {kind}")
 

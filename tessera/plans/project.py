@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import dims
+from tessera.functions.session import reachable
 from tessera.operators import build, domains, export, graph, history, parse, resolve, summary, text, viz
 from tessera.sources import files as file_source
 from tessera.sources import gitlog, projectconfig
@@ -48,6 +49,7 @@ class Project:
 
     def analyze(self) -> Project:
         """Build all tables; the parsed files are kept, the rest is lazy until asked for."""
+        reachable(self.spark)
         o = self.options
         self.analyzed_at = datetime.now(UTC).isoformat()
         admitted = text.admit(self.raw.select("path", "content"))

@@ -73,6 +73,14 @@ def test_strong_components_against_brute_force(spark, small):
     assert {r["node"]: r["component"] for r in got.collect()} == want
 
 
+def test_no_components_and_no_files(spark):
+    e = spark.createDataFrame([("a", "b")], "source string, target string")
+    assert graph.strong_components(e).count() == 0 and graph.strong_components(e, 0).count() == 0 and graph.strong_components(e.limit(0)).count() == 0
+    files = spark.createDataFrame([("p", "a/x.py"), ("p", "b.c/y.py")], "project string, path string")
+    imports = spark.createDataFrame([("q", "a", "b")], "project string, source string, target string")
+    assert sorted(r["domain"] for r in domains.by_imports(files, imports).collect()) == ["a", "raíz"]
+
+
 def test_closure_leaves_out_its_start(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c")], "source string, target string")
     assert sorted(r["node"] for r in graph.impact_of(e, "c").collect()) == ["a", "b", "d"]
