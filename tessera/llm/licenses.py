@@ -139,9 +139,12 @@ def rules() -> list[Rule]:
 
 
 def _gate(all_rules: list[Rule]) -> str:
-    """A cheap test on the raw text that every text with a rule's keyword passes."""
+    """A cheap test on the raw text that every text with a rule's keyword or a base phrase passes.
+
+    Signatures start at word starts, so only those are tried; words that merely end in a keyword are named in full.
+    """
     loose = {r.keyword.replace(" ", r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+") for r in all_rules} - {"mit", "cc", "distribution", "european"}
-    return r"(?i)licen[cs]|(?<![a-z0-9])cc[^0-9a-z]+by|" + "|".join(sorted(loose))
+    return r"(?i)(?<![0-9a-z])(?:licen[cs]|cc[^0-9a-z]+by|freebsd|0bsd|" + "|".join(sorted(loose)) + ")"
 
 
 def _spaces(c: Column) -> Column:
