@@ -35,30 +35,39 @@ LAST_ID = np.iinfo(np.int64).max
 _MESSAGES = "bucket long, chunk long, n int, body binary"
 
 
-def to_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Chunks of whole documents: ``(chunk, ids, sizes, body)``. A chunk's name is its smallest row's hash and place; written once, it stays."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
+def to_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of whole documents: ``(chunk, ids, sizes, body)``, and ``rest`` with the columns to carry along. Written once,
+    a chunk's name (its partition and number) stays."""
+    rest = F.struct(F.col(text_col).isNull().alias("no_text"), *[F.col(f"`{c}`") for c in carry])
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"), *([rest.alias("rest")] if carry else []))
 
     def run(batches):
-        ids, texts, size, number, part = [], [], 0, 0, 0
+        ids, texts, others, kind, size, number, part = [], [], [], None, 0, 0, 0
 
         def chunk():
             body = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([body], pa.binary())], names=["chunk", "ids", "sizes", "body"])
+            arrays = [pa.array([part << 32 | number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([body], pa.binary())]
+            if carry:
+                arrays.append(pa.array([others], pa.list_(kind)))
+            return pa.RecordBatch.from_arrays(arrays, names=["chunk", "ids", "sizes", "body", *(["rest"] if carry else [])])
 
         for batch in batches:
-            for i, text, p in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            more = batch.column(3).to_pylist() if carry else [None] * batch.num_rows
+            kind = batch.schema.field(3).type if carry else None
+            for i, text, p, other in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), more, strict=True):
                 part = p
                 ids.append(i)
+                others.append(other)
                 texts.append((text.as_py() or "").encode("utf-8"))
                 size += len(texts[-1])
                 if size >= chunk_bytes:
                     yield chunk()
-                    ids, texts, size, number = [], [], 0, number + 1
+                    ids, texts, others, size, number = [], [], [], 0, number + 1
         if ids:
             yield chunk()
 
-    return source.mapInArrow(run, "chunk long, ids array<long>, sizes array<long>, body binary")
+    kept = f", rest array<{source.schema['rest'].dataType.simpleString()}>" if carry else ""
+    return source.mapInArrow(run, "chunk long, ids array<long>, sizes array<long>, body binary" + kept)
 
 
 class Chunk:
@@ -166,12 +175,16 @@ def _by_level(bits, level: int) -> list[tuple[int, int, bytes]]:
     return [(b["bucket"], b["n"], b["body"]) for b in bits or [] if b["level"] == level]
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Per document ``(doc_id, n_words, n_removed, kept_sha256, kept)``: words covered by a repeated window are removed."""
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document ``(doc_id, n_words, n_removed, kept_sha256)`` and the kept text: words covered by a repeated window go.
+
+    Without ``carry``, ``kept`` is the kept words. With ``carry``, the columns named travel with the chunks: ``carried`` holds them, and ``whole`` the text as it was
+    where nothing was removed, else the kept words. So no text is joined to its row again."""
     if window < 2:
         raise ValueError("a window has two words at least")
     short = (window + 1) // 2
-    chunks = stash(to_chunks(docs, id_col, text_col, chunk_bytes), "chunks")
+    written = stash(to_chunks(docs, id_col, text_col, chunk_bytes, carry), "chunks")
+    chunks = written.select("chunk", "ids", "sizes", "body")
     size = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = int(max(32, size // 20_000_000))
 
@@ -240,14 +253,22 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                         words = [words[j] for j in np.flatnonzero(keep[f[i] : f[i + 1]])]
                     kept = b" ".join(words)
                     n = int(f[i + 1] - f[i])
-                    rows.append((c.ids[i], n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8")))
+                    row = [c.ids[i], n, n - len(words), hashlib.sha256(kept).hexdigest()]
+                    if carry:
+                        other = r["rest"][i]
+                        whole = None if other["no_text"] else (kept if len(words) < n else text).decode("utf-8")
+                        row += [whole, other]
+                    else:
+                        row.append(kept.decode("utf-8"))
+                    rows.append(row)
                 columns = list(zip(*rows, strict=True))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), *([batch.schema.field("rest").type.value_type] if carry else [])]
                 for s in range(0, len(rows), 256):  # small batches on the way back
-                    yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 256], t) for x, t in zip(columns, types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 256], t) for x, t in zip(columns, types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", *(["whole", "carried"] if carry else ["kept"])])
 
     both = first.unionByName(second)
-    return _with_answers(chunks, both).mapInArrow(clean, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    last = f"whole string, carried {written.schema['rest'].dataType.elementType.simpleString()}" if carry else "kept string"
+    return _with_answers(written, both).mapInArrow(clean, f"doc_id long, n_words long, n_removed long, kept_sha256 string, {last}")
 
 
 def _short_keys(values: np.ndarray) -> np.ndarray:
@@ -281,8 +302,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """Documents without repeated passages; those with none keep their text as it is. The columns of ``docs`` stay."""
-    cut = repeats(docs).filter("n_removed > 0").select(F.col("doc_id").alias("__id"), "kept")
-    joined = docs.join(cut, F.col("doc_id") == F.col("__id"), "left")
-    text = F.coalesce(F.col("kept"), F.col("text"))
-    made = {"text": text, "n_chars": F.when(F.col("kept").isNotNull(), F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))}
-    return joined.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = repeats(docs, carry=rest)
+    fixed = F.col("n_removed") > 0
+    made = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("whole"), "n_chars": F.when(fixed, F.char_length("whole").cast("long")).otherwise(F.col("carried")["n_chars"])}
+    return cut.select(*[made[c].alias(c) if c in made else F.col("carried")[c].alias(c) for c in docs.columns])
