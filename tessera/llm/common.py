@@ -6,6 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import xxhash
@@ -37,6 +38,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stashed tables now: for those from which everything needed has been written."""
+    for df in tables:
+        _remove(df.sparkSession, _PATHS.pop(df))
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -48,7 +58,9 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     atexit.register(_remove, spark, path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files when their plans are collected
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, stash, window_hashes
+from tessera.llm.common import Words, discard, stash, window_hashes
 from tessera.llm.components import connected_components
 from tessera.llm.substrings import _MESSAGES, _send, to_chunks
 
@@ -121,7 +121,9 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n", "own", "key", "body", "prefix"])
 
     own = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "body")).alias("bits"))
-    return stash(chunks.join(own, "chunk", "left").mapInArrow(judge, "doc_id long, n long, own long, key binary, body binary, prefix array<long>"), "sets")
+    sets = stash(chunks.join(own, "chunk", "left").mapInArrow(judge, "doc_id long, n long, own long, key binary, body binary, prefix array<long>"), "sets")
+    discard(chunks, answers)
+    return sets
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -222,6 +224,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     blocked = blocked.join(needed.select("rep", "bits"), "rep")
     more = blocked.groupBy("token", "tile", "i", "j").applyInArrow(lambda t: tile_pairs(t, percent), "a long, b long").distinct().join(spokes, ["a", "b"], "left_anti")
     links = links.unionByName(stash(verify(more, needed, percent), "links"))
+    discard(tiles, needed)
     comps = connected_components(links)
     by_class = classes.join(comps, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("c"))
     return described.select("doc_id", "n", "key").join(by_class, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
