@@ -32,7 +32,7 @@ from tessera.llm.substrings import _MESSAGES, _send, to_chunks
 
 SHINGLE = 5
 PERCENT = 80
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 4_000_000
 BLOCK_ROWS = 512
 BASE = 0xD6E8FEB86659FD93
 
