@@ -3,9 +3,10 @@
 Executors tokenise whole texts (a word cache feeds the tokenizer only unseen words) and cut over-long documents.
 What is packed is the histogram of piece lengths: at most ``capacity`` numbers, whatever the input's size. Bin
 completion takes the largest length left, enumerates undominated fillings of the room beside it, least waste
-first, and applies a filling as often as the counts allow. Branches whose waste exceeds what would beat the
-incumbent are pruned; best-fit decreasing is the first incumbent, and reaching the volume bound ends the search.
-The search stops after ``node_limit`` nodes and keeps the incumbent, which is always a whole packing.
+first, and applies a filling as often as the counts allow, then less often. Branches whose waste exceeds what would
+beat the incumbent are pruned; best-fit decreasing is the first incumbent, and reaching the volume bound ends the
+search. It stops after ``node_limit`` nodes (fillings applied); the packing at hand is then completed by best fit,
+and the better of it and the incumbent, always whole packings, is the result.
 
 The plan says which ranks of each length go to which sequences; ranks are dealt in salted groups, so a length that
 a third of all pieces share is no hot spot.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -29,6 +31,7 @@ from tessera.llm.common import stash
 
 CAPACITY = 2048
 CACHE_WORDS = 400_000
+PATIENCE = 100
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -199,41 +202,96 @@ def best_fit(counts: np.ndarray, capacity: int) -> Plan:
     return [x for group in rooms.values() for x in group]
 
 
-def fillings(counts: np.ndarray, room: int, keep: int = 4, depth: int = 4) -> list[list[int]]:
-    """Undominated fillings of ``room``, least waste first: no filling here can be had by swapping an item of
-    another for smaller ones that fit in its place. An item as large as the room dominates every other filling."""
-    have = np.flatnonzero(counts[: room + 1])
-    if not len(have):
-        return [[]]
-    if have[-1] == room:
-        return [[room]]
-    found: list[tuple[int, list[int]]] = [(room - int(have[-1]), [int(have[-1])])]
-    fits = room - have  # what stays beside one item
-    at = np.searchsorted(have, fits, side="right") - 1
-    second = np.where(at >= 0, have[np.maximum(at, 0)], 0)
-    same = (second == have) & (counts[have] < 2)
-    at = np.where(same, at - 1, at)
-    second = np.where(at >= 0, have[np.maximum(at, 0)], 0)
-    waste = np.where(second > 0, fits - second, room)
-    pairs = np.lexsort((-have, waste))[: 4 * keep]
-    seen = set()
-    for i in pairs:
-        a, b = sorted((int(have[i]), int(second[i])), reverse=True)
-        if b and (a, b) not in seen:
-            seen.add((a, b))
-            found.append((room - a - b, [a, b]))
-    if depth > 2 and min(w for w, _ in found) > 0:
-        for a in have[::-1][:: max(1, len(have) // 12)]:
-            less = counts.copy()
-            less[a] -= 1
-            for rest in fillings(less, room - int(a), 1, depth - 1):
-                items = sorted([int(a), *rest], reverse=True)
-                found.append((room - sum(items), items))
-    out: list[list[int]] = []
-    for _, items in sorted(found, key=lambda f: (f[0], [-i for i in f[1]])):
-        if items not in out:
-            out.append(items)
-    return out[:keep]
+def _reach(sizes: list[int], number: dict[int, int], room: int) -> list[int]:
+    """For each place in ``sizes``, as bits, the sums that the items from there on can have."""
+    out, mask = [1], (1 << room + 1) - 1
+    for size in reversed(sizes):
+        bits, step, left = out[-1], 1, min(number[size], room // size)
+        while left:
+            step = min(step, left)
+            bits |= bits << step * size & mask
+            left -= step
+            step *= 2
+        out.append(bits)
+    return out[::-1]
+
+
+def _sums(one: int, several: int, size: int) -> tuple[int, int]:
+    """Sums of one and of several items, as bits, with one more item."""
+    return one | 1 << size, several | (one | several) << size
+
+
+def _dominated(one: int, several: int, absent: int, waste: int) -> bool:
+    """Whether an absent item fits where several items or smaller ones, of these sums, are."""
+    bits, width = (one | several) << 1, 1
+    while width < waste:
+        step = min(width, waste - width)
+        bits |= bits << step
+        width += step
+    return bool((several | bits if waste else several) & absent)
+
+
+def fillings(counts: np.ndarray, room: int, most_waste: int | None = None, after: list[int] | None = None) -> Iterator[list[int]]:
+    """Maximal undominated fillings of ``room``, of any number of items, lazily: least waste first, then larger items
+    first. Those that waste more than ``most_waste`` are left out, and all up to ``after``.
+
+    A filling is dominated if an item that it lacks fits in place of items that are no larger together. After
+    ``PATIENCE`` dominated ones in a row dominance is not asked for, so the next filling is never far and none is lost.
+    """
+    number = {int(x): int(counts[x]) for x in np.flatnonzero(counts[: room + 1])[::-1]}
+    if number.get(room):  # dominates all others
+        if not after:
+            yield [room]
+        return
+    least = min(number, default=room + 1)
+    sizes, forced, tried = list(number), [], 0
+    table = _reach(sizes, number, room)
+
+    def choose(at: int, left: int, items: list[int], one: int, several: int, absent: int, tight: bool) -> Iterator[list[int]]:
+        nonlocal tried
+        if not left:
+            whole = items + forced
+            if not tight and not (forced and tried < PATIENCE and _dominated(one, several, absent | sum(1 << x for x in sizes[at:]), waste)):
+                tried = 0
+                yield whole
+            return
+        for j in range(at, len(sizes)):
+            if not table[j] >> left & 1:
+                return
+            size = sizes[j]
+            most, given = min(number[size], left // size), -1
+            if tight and size >= after[len(items)]:
+                given = after.count(size)
+                most = min(most, given)
+            elif tight:
+                tight = False
+            ways = [(one, several)]
+            while len(ways) <= most:
+                more = _sums(*ways[-1], size)
+                if tried < PATIENCE and _dominated(*more, absent, waste):
+                    tried += 1
+                    break
+                ways.append(more)
+            for k in range(len(ways) - 1, 0, -1):
+                if table[j + 1] >> left - k * size & 1:
+                    yield from choose(j + 1, left - k * size, items + [size] * k, *ways[k], absent | (k < number[size]) << size, tight and k == given)
+            absent |= 1 << size
+            tight = tight and not given
+
+    first = 0 if after is None else room - sum(after)
+    for waste in range(first, min(room, room if most_waste is None else most_waste) + 1):
+        if waste >= least and (waste == first or waste in number):  # such items would fit beside any filling, so all are in it
+            forced = [x for x in number if x <= waste for _ in range(number[x])]
+            sizes = [x for x in number if x > waste]
+            table = _reach(sizes, number, room)
+        left = room - waste - sum(forced)
+        if left < 0:
+            return
+        if table[0] >> left & 1:
+            one = several = 0
+            for x in forced:
+                one, several = _sums(one, several, x)
+            yield from choose(0, left, [], one, several, 0, after is not None and waste == first)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -258,38 +316,49 @@ def complete_bins(counts: np.ndarray, capacity: int, node_limit: int = 1_000) ->
     bound = lower_bound(counts, capacity)
     incumbent = best_fit(counts, capacity)
     bins = sum(n for n, _ in incumbent)
-    sizes = np.arange(len(counts))
-    total = int((counts * sizes).sum())
+    total = int((counts * np.arange(len(counts))).sum())
     nodes = 0
-    stack: list[tuple[np.ndarray, list[list[int]], int]] = []
+    # A level's counts and waste, and the last filling beside its largest item with the times that it was used. Fillings
+    # beside equal items come in order, so a level goes on after the one that the level before used.
+    stack: list[tuple[np.ndarray, int, list[int] | None, int]] = [(counts, 0, None, 0)]
     chosen: Plan = []
-    state, waste = counts.copy(), 0
-    while bins > bound and nodes < node_limit:
-        nodes += 1
-        allowed = (bins - 1) * capacity - total
+    while stack and bins > bound and nodes < node_limit:
+        state, wasted, items, times = stack[-1]
+        del chosen[len(stack) - 1 :]
         left = np.flatnonzero(state)
-        if not len(left):
-            incumbent, bins = list(chosen), sum(n for n, _ in chosen)
-        elif waste <= allowed:
-            top = int(left[-1])
-            rest = state.copy()
-            rest[top] -= 1
-            stack.append((state, [[top, *f] for f in fillings(rest, capacity - top)], waste))
-            chosen.append((0, []))
-        while stack and not stack[-1][1]:
+        spare = (bins - 1) * capacity - total - wasted  # what a better packing may still waste
+        if not len(left) or spare < 0:
+            if spare >= 0:
+                incumbent, bins = list(chosen), sum(n for n, _ in chosen)
             stack.pop()
-            chosen.pop()
-        if not stack:
-            break
-        before, options, wasted = stack[-1]
-        items = options.pop(0)
-        uses = np.bincount(items, minlength=len(counts))
-        used = np.flatnonzero(uses)
-        times = int((before[used] // uses[used]).min())
-        state = before - uses * times
-        waste = wasted + times * (capacity - sum(items))
-        del chosen[len(stack) - 1 :]
-        chosen.append((times, items))
+            continue
+        top = int(left[-1])
+        rest = state.copy()
+        rest[top] -= 1
+        if times > 1:
+            times -= 1
+        else:
+            items = next(fillings(rest, capacity - top, spare, items), None)
+            if items is None:
+                stack.pop()
+                continue
+            uses = np.bincount([top, *items])
+            used = np.flatnonzero(uses)
+            times = int((state[used] // uses[used]).min())
+        waste = capacity - top - sum(items)
+        times = min(times, spare // waste) if waste else times
+        if times < 1:  # a level that allowed more has found a better packing since
+            stack.pop()
+            continue
+        nodes += 1
+        stack[-1] = (state, wasted, items, times)
+        chosen.append((times, [top, *items]))
+        after = state - times * np.bincount([top, *items], minlength=len(counts))
+        stack.append((after, wasted + times * waste, items if after[top] else None, 0))
+    if stack and bins > bound:  # the search hit its limit: the packing at hand is completed by best fit
+        whole = chosen + best_fit(stack[-1][0], capacity)
+        if sum(n for n, _ in whole) < bins:
+            incumbent = whole
     return incumbent, bound
 
 
