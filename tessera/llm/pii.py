@@ -35,8 +35,8 @@ CONTEXT_WORDS = 2
 ROUNDS = 3
 MIN_PATTERN_SCORE = 0.5
 MIN_INSTANCES = 2
-# Fixed names of secrets; a value assigned to one is a seed.
-SECRET_NAMES = r"(?i)(?:token|secret|password|passwd|api_?key|access_?key|auth|bearer|ssn|passport|iban|account)"
+# Fixed names of secrets; a value assigned to one is a seed. They are read with marks (as in api_key) turned into spaces.
+SECRET_NAMES = r"(?i)(?:token|secret|password|passwd|api ?key|access ?key|auth|bearer|ssn|passport|iban|account)"
 
 CONTEXT_CHARS = 80
 KINDS = tuple(PATTERNS)
@@ -104,14 +104,18 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def with_context(m: Column, seed: Column) -> Column:
         before = F.substring(F.col("t"), F.greatest(m["start"] - (CONTEXT_CHARS - 1), F.lit(1)), F.least(m["start"], F.lit(CONTEXT_CHARS)))
         plain = F.regexp_replace(F.lower(before), r"[^\p{L}\p{N}:=]+", " ")  # marks between the words are no part of a pattern
-        left = F.regexp_extract(plain, rf"((?:\S+ ){{0,{CONTEXT_WORDS - 1}}}\S+) ?\z", 1)
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), left.alias("context"), seed.alias("seed"))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), plain.alias("before"), seed.alias("seed"))
 
     seeds = F.transform("base", lambda m: with_context(m, F.lit(True)))
     named = F.transform("loose", lambda m: with_context(m, F.lit(False)))
     f = e.select("doc_id", F.xxhash64("t").alias("text_hash"), *KINDS, F.concat(seeds, named).alias("instances"))
-    secret = rf"{SECRET_NAMES} ?[:=]\z"
-    g = f.select("doc_id", "text_hash", *KINDS, F.transform("instances", lambda m: m.withField("seed", m["seed"] | m["context"].rlike(secret))).alias("instances"))
+    secret = rf"{SECRET_NAMES} ?[:=] ?\z"  # on all that stands before: a name may have more words than a context
+
+    def judged(m: Column) -> Column:
+        context = F.regexp_extract(m["before"], rf"((?:\S+ ){{0,{CONTEXT_WORDS - 1}}}\S+) ?\z", 1)
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), context.alias("context"), (m["seed"] | m["before"].rlike(secret)).alias("seed"))
+
+    g = f.select("doc_id", "text_hash", *KINDS, F.transform("instances", judged).alias("instances"))
     return stash(g.select(F.monotonically_increasing_id().alias("row"), "*"), "found")
 
 
