@@ -143,8 +143,10 @@ def _gate(all_rules: list[Rule]) -> str:
 
     Signatures start at word starts, so only those are tried; words that merely end in a keyword are named in full.
     """
-    loose = {r.keyword.replace(" ", r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+") for r in all_rules} - {"mit", "cc", "distribution", "european"}
-    return r"(?i)(?<![0-9a-z])(?:licen[cs]|cc[^0-9a-z]+by|freebsd|0bsd|" + "|".join(sorted(loose)) + ")"
+    gap = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
+    loose = {r.keyword.replace(" ", gap) for r in all_rules} - {"mit", "cc", "distribution", "european"}
+    under_mit = f"under{gap}(?:the{gap})?(?:terms{gap}of{gap}(?:the{gap})?)?mit"
+    return rf"(?i)(?<![0-9a-z])(?:licen[cs]|cc[^0-9a-z]+by|freebsd|0bsd|{under_mit}|" + "|".join(sorted(loose)) + ")"
 
 
 def _spaces(c: Column) -> Column:
