@@ -15,7 +15,8 @@
 No bound or cap drops a pair. Documents in one component aren't compared again, which loses no component.
 
 Nulls, empty texts and texts without words have empty sets and link with nothing, not even each other. Repeated rows
-(one doc_id) give one row each. An empty table gives no rows.
+(one doc_id) give one row each. An empty table gives no rows. Rows with a null doc_id are documents of their own, whose
+ids count as larger than all others: their doc_id stays null, and so is the component_id of a component of such rows alone.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Words, discard, stash, window_hashes
@@ -195,8 +196,32 @@ def tile_pairs(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(np.concatenate(out_b) if out_b else a, pa.int64())})
 
 
+def with_ids(docs: DataFrame, id_col: str) -> tuple[DataFrame, int | None]:
+    """``docs`` with null ids replaced by numbers above all others, and the largest id that was given (None: no null ids).
+
+    The replaced rows are written once, so their numbers stay.
+    """
+    given = F.col(id_col).cast("long")
+    rows, ids, top = docs.agg(F.count(F.lit(1)), F.count(given), F.max(given)).first()
+    if rows == ids:
+        return docs, None
+    top = -1 if top is None else max(top, -1)
+    nameless = stash(docs.filter(given.isNull()).withColumn("__at", F.monotonically_increasing_id()), "nameless")
+    part = F.shiftright("__at", 33)
+    ahead = nameless.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n")).select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))  # a row a partition
+    place = F.lit(top + 1) + F.col("__ahead") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = nameless.withColumn("__part", part).join(ahead, "__part").withColumn(id_col, place)
+    return docs.filter(given.isNotNull()).withColumn(id_col, given).select(*docs.columns).unionByName(numbered.select(*docs.columns)), top
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per document ``(doc_id, n_shingles, component_id)``: components of the links that reach the threshold."""
+    numbered, top = with_ids(docs, id_col)
+    out = _join(numbered, id_col, text_col, width, percent, chunk_bytes, block_rows)
+    return out if top is None else out.select(*[F.when(F.col(c) <= top, F.col(c)).alias(c) if c != "n_shingles" else F.col(c) for c in out.columns])
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     described = describe(docs, id_col, text_col, width, percent, chunk_bytes)
     classes = stash(described.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("body").isNotNull(), F.col("doc_id"))).alias("holder")), "classes")
     holders = classes.select("rep", F.col("holder").alias("doc_id"), F.col("key").alias("k"))
@@ -235,6 +260,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id."""
-    first = join(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("__id"), "left_semi")
+    """One document of each group, the one with the smallest doc_id; one with a null id only where none has an id."""
+    numbered, top = with_ids(docs, "doc_id")
+    first = _join(numbered, "doc_id", "text").filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = numbered.join(first, F.col("doc_id") == F.col("__id"), "left_semi")
+    return kept if top is None else kept.withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")).cast(docs.schema["doc_id"].dataType))
