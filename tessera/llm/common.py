@@ -63,6 +63,14 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one where ``df`` has such a column (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64), in place on a copy."""
     x = x + np.uint64(0x9E3779B97F4A7C15)

@@ -1,22 +1,26 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, then exact intersections of sorted arrays.
 
-1. Documents travel as chunks; each distinct shingle of a chunk learns in how many chunks it occurs. A document of
-   which more than a fifth of the shingles occur nowhere else can't reach 80 % with any other and is done.
+1. Documents travel as chunks. Of each set, the first shingles in the order of their hashes (twice a prefix, 40 % at a
+   similarity of 0.8) are probed: each chunk learns how many chunks probe them too. Linked sets share at least half of
+   a prefix of their probes; a document with fewer shared ones is done.
 2. Documents with equal sets are one class, represented by the smallest doc_id.
-3. Two sets that reach the threshold share one of their rarest fifth (plus one) of shingles. Representatives meet in
-   tiles, named by such a shingle and a size band: bands are a factor of 1 / threshold wide, so partners are in the
-   same or the next band.
-4. In each tile every set is first compared with one hub, the member with the fewest shingles of its own. Components
-   of those links settle tiles in which all members are then connected.
-5. In the other tiles, bitmaps bound the overlap of members of different components from above (a bit of one that the
-   other lacks is a shingle that the other lacks); only pairs whose bound reaches the threshold are intersected.
-   Large tiles are split into blocks and each pair of blocks is a task's work of its own.
-
-No bound or cap drops a pair. Documents in one component aren't compared again, which loses no component.
+3. Two linked sets share one of their rarest probes (all but those that a partner must share, less one). Representatives
+   meet in tiles, named by such a shingle and a size band: bands are a factor of 1 / threshold wide, so partners are in
+   the same or the next band. Tiles with the same members are one.
+4. Each tile has a hub, the member with the fewest shingles of its own. A set is first compared with the hub that it
+   shares most tiles with, then with the hubs of the tiles that this leaves open. Components of the links settle tiles.
+5. In tiles still open, the rows outside the largest component meet all rows, in blocks. Bitmaps bound the overlap of
+   members of different components from above (a bit of one that the other lacks is a shingle that the other lacks);
+   only pairs whose bound reaches the threshold are intersected.
+
+No bound or cap drops a pair. Documents in one component aren't compared again, which loses no component. Joins whose
+sides may both grow are sort-merge joins at every size.
 
 Nulls, empty texts and texts without words have empty sets and link with nothing, not even each other. Repeated rows
 (one doc_id) give one row each. An empty table gives no rows. Rows with a null doc_id are documents of their own, whose
 ids count as larger than all others: their doc_id stays null, and so is the component_id of a component of such rows alone.
+Ties among hubs go by hash. Texts of any length are whole sets; other columns are ignored by
+``join`` and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,17 +28,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, discard, stash, window_hashes
+from tessera.llm.chunks import MESSAGES, answers_of, bucket_count, exchange, messages, rows, texts_of, to_chunks, with_answers
+from tessera.llm.common import Words, discard, free_name, stash, window_hashes
 from tessera.llm.components import connected_components
-from tessera.llm.substrings import _MESSAGES, _send, to_chunks
 
 SHINGLE = 5
 PERCENT = 80
-CHUNK_BYTES = 4_000_000
-BLOCK_ROWS = 512
+PART_BYTES = 4_000_000
+BLOCK_ROWS = 256
+HUB_ROWS = 256
 BASE = 0xD6E8FEB86659FD93
 
 
@@ -54,91 +60,112 @@ def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def _split(ids, sizes, body: bytes) -> list[bytes]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(body) if body else b""
-    ends = np.cumsum([0, *sizes])
-    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-
 def prefix_length(n: int, percent: int) -> int:
     """How many of a set's first shingles (in any order that all sets share) a partner must meet."""
     return n - -(-percent * n // 100) + 1
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, chunk_bytes: int) -> DataFrame:
-    """``(doc_id, n, own, key, body, prefix)`` of each document; the last three only where it may have a partner."""
-    chunks = stash(to_chunks(docs, id_col, text_col, chunk_bytes), "chunks")
-    size = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    buckets = int(max(32, size // 12_000_000))
+def probe_length(n: int, percent: int) -> int:
+    return min(n, 2 * prefix_length(n, percent))
+
+
+def least_shared(n: int, percent: int) -> int:
+    """How many probes any partner of a set of ``n`` shingles shares with it: the probes beyond a prefix, of the smallest partner.
+
+    Of the shingles that two linked sets share, at most (size - prefix length) of either set's lie behind its prefix, so
+    each probe beyond the prefix makes one more of them a probe of both; the smaller set has the fewer such probes.
+    """
+    m = -(-percent * n // 100)
+    return probe_length(m, percent) - prefix_length(m, percent) + 1
+
+
+def describe(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, part_bytes: int) -> DataFrame:
+    """``(doc_id, n, own, key, chunk, body, prefix)`` of each document; ``key`` only where it may have a partner, ``body`` and
+    ``prefix`` once a chunk and set. ``body`` is the text, compressed: it is smaller than its hashes."""
+    chunks = to_chunks(docs, id_col, text_col, part_bytes)
+    buckets = bucket_count(chunks)
+
+    def probes(sets: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([s[: probe_length(len(s), percent)] if len(s) else s for s in sets])
 
     def ask(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                sets = shingle_sets(_split(r["ids"], r["sizes"], r["body"]), width)
-                values = np.unique(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
-                yield _send(r["chunk"], values, buckets, [(values & np.uint64(0xFFFFFFFF)).astype("<u4")])
+        for chunk, parts, _ in rows(batches):
+            yield messages(chunk, np.unique(np.concatenate([np.unique(probes(shingle_sets(texts_of(p), width))) for p in parts])), buckets)
 
-    def answer(table: pa.Table) -> pa.Table:
+    def judge(keys: np.ndarray) -> np.ndarray:
         """For each key, 0 if one chunk alone has it, else a class that grows with the number of chunks."""
-        n = np.array(table["n"].to_pylist(), dtype=np.int64)
-        keys = np.concatenate([np.frombuffer(b, "<u4") for b in table["body"].to_pylist()])
         _, at, count = np.unique(keys, return_inverse=True, return_counts=True)
-        grade = np.floor(np.log2(count)).astype(np.int64) + (count > 1)
-        out = np.minimum(grade, 255).astype(np.uint8)[at]
-        ends = np.cumsum(n)
-        return pa.table({"bucket": table["bucket"], "chunk": table["chunk"], "n": pa.array(n, pa.int32()), "body": pa.array([out[a:b].tobytes() for a, b in zip(ends - n, ends, strict=True)], pa.binary())})
-
-    answers = stash(chunks.mapInArrow(ask, _MESSAGES).groupBy("bucket").applyInArrow(answer, _MESSAGES), "grades")
-
-    def judge(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                sets = shingle_sets(_split(r["ids"], r["sizes"], r["body"]), width)
-                whole = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-                values, at, count = np.unique(whole, return_inverse=True, return_counts=True)
-                grade = np.frombuffer(b"".join(b["body"] for b in sorted(r["bits"] or [], key=lambda b: b["bucket"])), np.uint8)
-                if len(grade) != len(values):
-                    raise RuntimeError(f"{len(values)} keys were sent and {len(grade)} answers came back")
-                rarity = np.where((grade == 0) & (count == 1), 0, grade.astype(np.int64) + 1)[at]
-                rows, seen, end = [], set(), 0
-                for i, s in zip(r["ids"], sets, strict=True):
-                    own_rarity, end = rarity[end : end + len(s)], end + len(s)
-                    n, own = len(s), int((own_rarity == 0).sum())
-                    if not n or 100 * (n - own) < percent * n:
-                        rows.append((i, n, own, None, None, None))
+        return (np.floor(np.log2(count)).astype(np.int64) + (count > 1))[at]
+
+    grades = exchange(chunks.mapInArrow(ask, MESSAGES), judge, "grades")
+
+    def grade(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for chunk, parts, one in rows(batches):
+            all_sets = [shingle_sets(texts_of(p), width) for p in parts]
+            values, count = np.unique(np.concatenate([probes(sets) for sets in all_sets]), return_counts=True)
+            far = answers_of(one, 0, len(values))
+            rarity = np.where((far == 0) & (count == 1), 0, far.astype(np.int64) + 1)
+            seen = set()
+            for p, sets in zip(parts, all_sets, strict=True):
+                out = []
+                for i, text, s in zip(p["ids"], texts_of(p), sets, strict=True):
+                    n = len(s)
+                    own_probes = s[: probe_length(n, percent)] if n else s
+                    r = rarity[np.searchsorted(values, own_probes)]
+                    shared = int((r > 0).sum())
+                    if not n or shared < least_shared(n, percent):
+                        out.append((i, n, None, None, chunk, None, None))
                         continue
                     key = xxhash.xxh3_128_digest(s.tobytes())
                     if key in seen:
-                        rows.append((i, n, own, key, None, None))
+                        out.append((i, n, len(r) - shared, key, chunk, None, None))
                         continue
                     seen.add(key)
-                    order = np.lexsort((s, own_rarity))[: prefix_length(n, percent)]
-                    rows.append((i, n, own, key, s.astype("<u8").tobytes(), s[order[own_rarity[order] > 0]].view(np.int64)))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-                for a in range(0, len(rows), 512):
-                    columns = zip(*rows[a : a + 512], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n", "own", "key", "body", "prefix"])
-
-    own = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "body")).alias("bits"))
-    sets = stash(chunks.join(own, "chunk", "left").mapInArrow(judge, "doc_id long, n long, own long, key binary, body binary, prefix array<long>"), "sets")
-    discard(chunks, answers)
+                    order = np.lexsort((own_probes, r))[len(r) - shared :]
+                    out.append((i, n, len(r) - shared, key, chunk, squeeze(text), own_probes[order[: shared - least_shared(n, percent) + 1]].view(np.int64)))
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                for a in range(0, len(out), 512):
+                    columns = zip(*out[a : a + 512], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n", "own", "key", "chunk", "body", "prefix"])
+
+    sets = stash(with_answers(chunks, grades).mapInArrow(grade, "doc_id long, n long, own long, key binary, chunk long, body binary, prefix array<long>"), "sets")
+    discard(chunks, grades)
     return sets
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sorted arrays reach the threshold."""
-    one = pairs.join(sets.select(F.col("rep").alias("a"), F.col("body").alias("x")), "a")
-    both = one.join(sets.select(F.col("rep").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
+def _sets_of(bodies: list[bytes], width: int, most_bytes: int = 4_000_000):
+    """The sets of compressed texts, some MB of text at a time: (number, set)."""
+    at = 0
+    while at < len(bodies):
+        texts, size = [], 0
+        while at + len(texts) < len(bodies) and (not texts or size < most_bytes):
+            texts.append(zstandard.ZstdDecompressor().decompress(bodies[at + len(texts)]))
+            size += len(texts[-1])
+        yield from enumerate(shingle_sets(texts, width), at)
+        at += len(texts)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sorted arrays reach the threshold. A set that many pairs name as ``a`` comes once for every
+    ``HUB_ROWS`` of them, in keys of their own."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(HUB_ROWS)).cast("int").alias("k"))
+    salted = pairs.hint("merge").join(many.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"))
+    left = salted.hint("merge").join(sets.select(F.col("rep").alias("b"), F.col("body").alias("y")).hint("merge"), "b")
+    hubs = many.hint("merge").join(sets.select(F.col("rep").alias("a"), F.col("body").alias("x")).hint("merge"), "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
+    both = left.hint("merge").join(hubs.hint("merge"), ["a", "salt"]).select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+            a, x = batch.column(0).to_numpy(), batch.column(2)
+            new = np.flatnonzero(np.diff(a, prepend=a[:1] - 1)) if len(a) else np.empty(0, np.int64)
+            heads = dict(_sets_of([x[i].as_py() for i in new.tolist()], width))
+            of = np.cumsum(np.isin(np.arange(len(a)), new)) - 1
+            ok = np.zeros(len(a), bool)
+            for i, t in _sets_of(batch.column(3).to_pylist(), width):
+                s = heads[int(of[i])]
                 shared = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * shared >= percent * (len(s) + len(t) - shared))
+                ok[i] = 100 * shared >= percent * (len(s) + len(t) - shared)
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -158,42 +185,91 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
 
 
-def with_bitmaps(sets: DataFrame) -> DataFrame:
-    """``sets(rep, n, body)`` with ``bits``."""
+def with_bitmaps(sets: DataFrame, width: int) -> DataFrame:
+    """``(rep, bits)`` of ``sets(rep, body)``."""
 
     def run(batches):
         for batch in batches:
-            made = [bitmap(np.frombuffer(b.as_buffer(), "<u8")).tobytes() for b in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=["rep", "n", "body", "bits"])
+            made = [bitmap(s).tobytes() for _, s in _sets_of(batch.column(1).to_pylist(), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["rep", "bits"])
 
-    return sets.select("rep", "n", "body").mapInArrow(run, "rep long, n long, body binary, bits binary")
+    return sets.select("rep", "body").mapInArrow(run, "rep long, bits binary")
 
 
-def tile_pairs(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of different components in a tile (or a pair of its blocks) whose bitmaps let them reach the threshold."""
-    doc, n, comp = (np.array(table[c].to_pylist(), dtype=np.int64) for c in ("rep", "n", "comp"))
-    guest, side, blocks = np.array(table["guest"].to_pylist(), bool), np.array(table["block"].to_pylist()), (table["i"][0].as_py(), table["j"][0].as_py())
-    given = [np.frombuffer(b.as_buffer(), "<u8") for b in table["bits"]]
+def tile_pairs(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, guest: np.ndarray, side: np.ndarray, given: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components in a tile (or its blocks), not both guests, whose bitmaps let them reach the threshold.
+
+    ``side`` tells the rows that are compared with all others (0: this block's rows outside the largest component,
+    1: another block of such, 2: the largest component's); two rows of side 1 or of side 2 are not.
+    """
+    own = np.flatnonzero(side == 0)
+    m = ~(guest & guest[own, None]) & (comp != comp[own, None]) & ((side > 0) | (doc > doc[own, None]))
+    m &= np.minimum(n, n[own, None]) * 100 >= percent * np.maximum(n, n[own, None])
+    r, at = np.nonzero(m)
+    if not len(r):
+        return r, r
+    r = own[r]
     words = min(map(len, given))
     bits = np.stack([fold(b, words) for b in given])
-    out_a, out_b = [], []
-    for r in range(len(doc)):
-        m = ~guest | (not guest[r])
-        m &= (comp != comp[r]) & (doc > doc[r])
-        m &= (np.minimum(n, n[r]) * 100 >= percent * np.maximum(n, n[r]))
-        if blocks[0] != blocks[1]:
-            m &= side != side[r]
-        at = np.flatnonzero(m)
-        if not len(at):
+    x, y = bits[r], bits[at]
+    lacks, lacked = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+    most = np.minimum(n[r] - lacks, n[at] - lacked)
+    good = 100 * most >= percent * (n[r] + n[at] - most)
+    a, b = doc[r[good]], doc[at[good]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _tasks(batches, percent: int):
+    """``tile_pairs`` of each run of rows with the same keys; rows come sorted by them."""
+    held = None
+    for batch in _and_end(batches):
+        table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if table is None or not table.num_rows:
             continue
-        lacks = np.bitwise_count(bits[r] & ~bits[at]).sum(axis=1, dtype=np.int64)
-        lacked = np.bitwise_count(bits[at] & ~bits[r]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(n[r] - lacks, n[at] - lacked)
-        at = at[100 * most >= percent * (n[r] + n[at] - most)]
-        out_a.append(np.full(len(at), doc[r]))
-        out_b.append(doc[at])
-    a = np.concatenate(out_a) if out_a else np.empty(0, np.int64)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(np.concatenate(out_b) if out_b else a, pa.int64())})
+        keys = np.stack([table[k].to_numpy().astype(np.int64) for k in ("token", "tile", "x", "kind", "y")])
+        cuts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
+        last = len(cuts) - 1 if batch is None else len(cuts) - 2
+        doc, n, comp, side = (table[c].to_numpy().astype(np.int64) for c in ("rep", "n", "comp", "side"))
+        guest = table["guest"].to_numpy(zero_copy_only=False).astype(bool)
+        bits = [np.frombuffer(b.as_buffer(), "<u8") for b in table["bits"]]
+        found = [tile_pairs(doc[i:j], n[i:j], comp[i:j], guest[i:j], side[i:j], bits[i:j], percent) for i, j in zip(cuts[:last].tolist(), cuts[1 : last + 1].tolist(), strict=True)]
+        if found:
+            pairs = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+        held = None if batch is None else table.slice(int(cuts[-2]))
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
+def open_pairs(settled: DataFrame, needed: DataFrame, percent: int, width: int, block_rows: int) -> DataFrame:
+    """Pairs of different components that meet in a tile and may reach the threshold.
+
+    In each tile that holds several components, rows outside the largest one (strays) are dealt into blocks; each block
+    meets itself, every later block of strays, and every block of the largest component. So a component's rows
+    are repeated only as often as there are blocks of strays, and a tile with few strays costs little.
+    """
+    tile = ["token", "tile"]
+    sizes = settled.groupBy(*tile, "comp").agg(F.count(F.lit(1)).alias("m"))
+    shape = sizes.groupBy(*tile).agg(F.max("m").alias("top"), F.max_by("comp", "m").alias("main"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    blocks = shape.select(*tile, "main", F.ceil((F.col("all") - F.col("top")) / F.lit(block_rows)).cast("int").alias("k"), F.ceil(F.col("top") / F.lit(block_rows)).cast("int").alias("j"))
+    stray = F.col("comp") != F.col("main")
+    block = F.pmod(F.xxhash64("rep"), F.when(stray, F.col("k")).otherwise(F.col("j"))).cast("int")
+    # Tasks by kind: 0 has strays of block x, 1 those of blocks x and y, 2 those of block x and block y of the largest component.
+    dealt = settled.hint("merge").join(blocks.hint("merge"), tile).withColumn("block", block)
+    met_by = F.when(
+        stray,
+        F.concat(
+            F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("block", o).alias("x"), (F.col("block") != o).cast("int").alias("kind"), F.greatest("block", o).alias("y"), (F.col("block") > o).cast("int").alias("side"))),
+            F.transform(F.sequence(F.lit(0), F.col("j") - 1), lambda o: F.struct(F.col("block").alias("x"), F.lit(2).alias("kind"), o.alias("y"), F.lit(0).alias("side"))),
+        ),
+    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(o.alias("x"), F.lit(2).alias("kind"), F.col("block").alias("y"), F.lit(2).alias("side"))))
+    met = dealt.select(*tile, "guest", "rep", "n", "comp", F.inline(met_by))
+    marked = met.hint("merge").join(with_bitmaps(needed, width).hint("merge"), "rep")
+    task = [*tile, "x", "kind", "y"]
+    return marked.repartition(*task).sortWithinPartitions(*task).mapInArrow(lambda batches: _tasks(batches, percent), "a long, b long").distinct()
 
 
 def with_ids(docs: DataFrame, id_col: str) -> tuple[DataFrame, int | None]:
@@ -202,57 +278,73 @@ def with_ids(docs: DataFrame, id_col: str) -> tuple[DataFrame, int | None]:
     The replaced rows are written once, so their numbers stay.
     """
     given = F.col(id_col).cast("long")
-    rows, ids, top = docs.agg(F.count(F.lit(1)), F.count(given), F.max(given)).first()
-    if rows == ids:
+    count, ids, top = docs.agg(F.count(F.lit(1)), F.count(given), F.max(given)).first()
+    if count == ids:
         return docs, None
     top = -1 if top is None else max(top, -1)
-    nameless = stash(docs.filter(given.isNull()).withColumn("__at", F.monotonically_increasing_id()), "nameless")
-    part = F.shiftright("__at", 33)
-    ahead = nameless.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n")).select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))  # a row a partition
-    place = F.lit(top + 1) + F.col("__ahead") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = nameless.withColumn("__part", part).join(ahead, "__part").withColumn(id_col, place)
-    return docs.filter(given.isNotNull()).withColumn(id_col, given).select(*docs.columns).unionByName(numbered.select(*docs.columns)), top
+    nameless = stash(docs.filter(given.isNull()).select(F.monotonically_increasing_id().alias("at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "nameless")
+    part = F.shiftright("at", 33)
+    ahead = nameless.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # a row a partition
+    place = F.lit(top + 1) + F.col("ahead") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = nameless.withColumn("part", part).join(ahead, "part").select(*[place.alias(c) if c == id_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return docs.filter(given.isNotNull()).withColumn(id_col, given).select(*[f"`{c}`" for c in docs.columns]).unionByName(numbered), top
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, part_bytes: int = PART_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per document ``(doc_id, n_shingles, component_id)``: components of the links that reach the threshold."""
     numbered, top = with_ids(docs, id_col)
-    out = _join(numbered, id_col, text_col, width, percent, chunk_bytes, block_rows)
+    out = _join(numbered, id_col, text_col, width, percent, part_bytes, block_rows)
     return out if top is None else out.select(*[F.when(F.col(c) <= top, F.col(c)).alias(c) if c != "n_shingles" else F.col(c) for c in out.columns])
 
 
-def _join(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    described = describe(docs, id_col, text_col, width, percent, chunk_bytes)
-    classes = stash(described.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("body").isNotNull(), F.col("doc_id"))).alias("holder")), "classes")
-    holders = classes.select("rep", F.col("holder").alias("doc_id"), F.col("key").alias("k"))
-    with_rep = described.filter("body is not null").join(holders, "doc_id").filter("key = k")
-    meets = with_rep.select("rep", "n", "own", F.explode("prefix").alias("token"))
-    shared = meets.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
+def _tiles(reps: DataFrame, percent: int) -> DataFrame:
+    """``(token, tile, guest, rep, n, hub, hub_n, weight)``: the tiles of two members or more, those with the same members as one of that weight."""
+    tile = ["token", "tile"]
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
-    met = meets.join(shared, "token").select("token", "rep", "n", "own", band.alias("b"))
-    tiles = met.select("token", "rep", "n", "own", F.explode(F.array(F.struct(F.col("b").alias("tile"), F.lit(False).alias("guest")), F.struct((F.col("b") + 1).alias("tile"), F.lit(True).alias("guest")))).alias("t")).select("token", "t.tile", "t.guest", "rep", "n", "own")
-    h = F.xxhash64("rep", "guest")
-    # Tiles with the same members (most shingles of a passage have the same) are one.
-    members = tiles.groupBy("token", "tile").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(h).alias("h1"), F.sum(h.cast("decimal(20,0)")).alias("h2"), F.min(F.struct("own", "rep", "n")).alias("hub"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min("guest").alias("idle"))
-    hubs = members.filter("lo < hi and not idle").groupBy("tile", "m", "h1", "h2").agg(F.min("token").alias("token"), F.min("hub").alias("hub")).select("token", "tile", "hub")
-    tiles = stash(tiles.join(hubs, ["token", "tile"]), "tiles")
-    compatible = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent
-    spokes = tiles.filter((F.col("rep") != F.col("hub.rep")) & compatible).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-    needed = stash(with_bitmaps(with_rep.join(tiles.select("rep").distinct(), "rep", "left_semi")), "bodies")
-    links = stash(verify(spokes, needed, percent), "links")
+    meets = reps.select("rep", "n", "own", F.explode("prefix").alias("token"), band.alias("b"))
+    both = F.explode(F.array(F.struct(F.col("b").alias("tile"), F.lit(False).alias("guest")), F.struct((F.col("b") + 1).alias("tile"), F.lit(True).alias("guest"))))
+    tiles = meets.select("token", "rep", "n", "own", both.alias("t")).select("token", "t.tile", "t.guest", "rep", "n", "own")
+    # Only aggregates of fixed width: they stay in hash tables. The hub is the smallest by ``own``, then by hash.
+    seed, rank = lambda i: F.xxhash64("rep", "guest", F.lit(i)), F.shiftleft("own", 32) + F.shiftrightunsigned(F.xxhash64("rep"), 32)
+    members = tiles.groupBy(*tile).agg(
+        F.count(F.lit(1)).alias("m"), F.bit_xor(seed(1)).alias("h1"), F.bit_xor(seed(2)).alias("h2"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min("guest").alias("idle"), F.min_by("rep", rank).alias("hub"), F.min_by("n", rank).alias("hub_n")
+    )
+    hubs = members.filter("lo < hi and not idle").groupBy("tile", "m", "h1", "h2").agg(F.min("token").alias("token"), F.min_by("hub", "token").alias("hub"), F.min_by("hub_n", "token").alias("hub_n"), F.count(F.lit(1)).alias("weight"))
+    return stash(tiles.hint("merge").join(hubs.select(*tile, "hub", "hub_n", "weight").hint("merge"), tile).select(*tile, "guest", "rep", "n", "hub", "hub_n", "weight"), "tiles")
+
+
+def _named(rows: DataFrame, comps: DataFrame, col: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the component of the node in ``col``."""
+    found = comps.select(F.col("node").alias(col), F.col("component").alias("found"))
+    return rows.hint("merge").join(found.hint("merge"), col, "left").withColumn(name, F.coalesce("found", col)).drop("found")
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, percent: int = PERCENT, part_bytes: int = PART_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    described = describe(docs, id_col, text_col, width, percent, part_bytes)
+    maybe = described.filter("key is not null")
+    classes = stash(maybe.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("body").isNotNull(), F.col("chunk"))).alias("chunk")), "classes")
+    reps = stash(maybe.filter("body is not null").select("key", "chunk", "n", "own", "prefix", "body").hint("merge").join(classes.hint("merge"), ["key", "chunk"]).select("rep", "n", "own", "prefix", "body"), "reps")
+    tiles = _tiles(reps, percent)
+    bodies = reps.select("rep", "body")
+
+    compatible = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+    spokes = stash(tiles.filter((F.col("rep") != F.col("hub")) & compatible).groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.sum("weight").alias("w")), "spokes")
+    best = spokes.groupBy("b").agg(F.max(F.struct("w", "a")).alias("s")).select(F.col("s.a").alias("a"), "b")
+    links = stash(verify(best, bodies, percent, width), "links")
     comps = connected_components(links)
-    settled = tiles.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "tile", "guest", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    open_tiles = settled.groupBy("token", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi").select("token", "tile", F.ceil(F.col("m") / F.lit(block_rows)).cast("int").alias("k"))
-    dealt = settled.join(open_tiles, ["token", "tile"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("k") - 1)
-    blocked = dealt.withColumn("other", F.explode(others)).select("token", "tile", "guest", "rep", "n", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    blocked = blocked.join(needed.select("rep", "bits"), "rep")
-    more = blocked.groupBy("token", "tile", "i", "j").applyInArrow(lambda t: tile_pairs(t, percent), "a long, b long").distinct().join(spokes, ["a", "b"], "left_anti")
-    links = links.unionByName(stash(verify(more, needed, percent), "links"))
-    discard(tiles, needed)
+    others = _named(_named(spokes, comps, "a", "ca"), comps, "b", "cb").filter("ca <> cb").select("a", "b").hint("merge").join(best.hint("merge"), ["a", "b"], "left_anti")
+    links = links.unionByName(stash(verify(others, bodies, percent, width), "links"))
+    comps = connected_components(links)
+
+    settled = _named(tiles.select("token", "tile", "guest", "rep", "n"), comps, "rep", "comp")
+    tried = spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = open_pairs(settled, bodies, percent, width, block_rows).hint("merge").join(tried.hint("merge"), ["a", "b"], "left_anti")
+    links = links.unionByName(stash(verify(more, bodies, percent, width), "links"))
+    discard(tiles, reps, spokes)
     comps = connected_components(links)
-    by_class = classes.join(comps, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("c"))
-    return described.select("doc_id", "n", "key").join(by_class, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    by_class = _named(classes.select("key", "rep"), comps, "rep", "component_id").select("key", "component_id")
+    linked = maybe.select("doc_id", "n", "key").hint("merge").join(by_class.hint("merge"), "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return described.filter("key is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")).unionByName(linked)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -260,8 +352,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; one with a null id only where none has an id."""
+    """One document of each group, the one with the smallest doc_id; one with a null id only where none has an id. Rows that repeat
+    a kept doc_id stay. The columns of ``docs`` stay, whatever their names."""
     numbered, top = with_ids(docs, "doc_id")
-    first = _join(numbered, "doc_id", "text").filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = numbered.join(first, F.col("doc_id") == F.col("__id"), "left_semi")
+    name = free_name(docs, "first_id")
+    first = _join(numbered, "doc_id", "text").filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = numbered.join(first, F.col("doc_id") == F.col(name), "left_semi")
     return kept if top is None else kept.withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")).cast(docs.schema["doc_id"].dataType))

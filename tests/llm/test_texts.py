@@ -65,7 +65,7 @@ def test_doubling_ends_without_survivors(spark):
 def test_ngram_join_against_brute_force(spark):
     docs = corpus()
     for block_rows in (3, 512):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame(spark, docs), chunk_bytes=4000, block_rows=block_rows).collect()}
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame(spark, docs), part_bytes=4000, block_rows=block_rows).collect()}
         assert got == brute.components(docs)
     assert ngram_join.join(frame(spark, docs[:1]).limit(0)).count() == 0
 
