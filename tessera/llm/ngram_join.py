@@ -7,11 +7,12 @@
 3. Two linked sets share one of their rarest probes (all but those that a partner must share, less one). Representatives
    meet in tiles, named by such a shingle and a size band: bands are a factor of 1 / threshold wide, so partners are in
    the same or the next band. Tiles with the same members are one.
-4. Each tile has a hub, the member with the fewest shingles of its own. A set is first compared with the hub that it
-   shares most tiles with, then with the hubs of the tiles that this leaves open. Components of the links settle tiles.
+4. Each tile has a hub, the member with the fewest shingles of its own, with which its other members are compared.
+   Components of these links settle tiles in which all members are then connected.
 5. In tiles still open, the rows outside the largest component meet all rows, in blocks. Bitmaps bound the overlap of
    members of different components from above (a bit of one that the other lacks is a shingle that the other lacks);
-   only pairs whose bound reaches the threshold are intersected.
+   only pairs whose bound reaches the threshold are intersected: first the likeliest few of each row and component, and
+   then, where these didn't connect the two, all the others.
 
 No bound or cap drops a pair. Documents in one component aren't compared again, which loses no component. Joins whose
 sides may both grow are sort-merge joins at every size.
@@ -40,6 +41,8 @@ SHINGLE = 5
 PERCENT = 80
 PART_BYTES = 4_000_000
 BLOCK_ROWS = 256
+LIKELIEST = 2
+SALTS = 8
 HUB_ROWS = 256
 BASE = 0xD6E8FEB86659FD93
 
@@ -173,8 +176,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataF
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """A hashed signature of four bits or more a shingle, its length a power of two, so that halves can be folded."""
-    words = 1 << int(max(0, np.ceil(np.log2(max(1, 4 * len(values) / 64)))))
+    """A hashed signature of eight bits or more a shingle, its length a power of two, so that halves can be folded."""
+    words = 1 << int(max(0, np.ceil(np.log2(max(1, 8 * len(values) / 64)))))
     bits = np.zeros(words * 64, np.uint8)
     bits[(values >> np.uint64(20)) % np.uint64(words * 64)] = 1
     return np.packbits(bits, bitorder="little").view("<u8")
@@ -196,8 +199,9 @@ def with_bitmaps(sets: DataFrame, width: int) -> DataFrame:
     return sets.select("rep", "body").mapInArrow(run, "rep long, bits binary")
 
 
-def tile_pairs(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, guest: np.ndarray, side: np.ndarray, given: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components in a tile (or its blocks), not both guests, whose bitmaps let them reach the threshold.
+def tile_pairs(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, guest: np.ndarray, side: np.ndarray, given: list[np.ndarray], percent: int, likeliest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components in a tile (or its blocks), not both guests, whose bitmaps let them reach the threshold; of each row
+    and component the ``likeliest`` by that bound, or all.
 
     ``side`` tells the rows that are compared with all others (0: this block's rows outside the largest component,
     1: another block of such, 2: the largest component's); two rows of side 1 or of side 2 are not.
@@ -215,11 +219,20 @@ def tile_pairs(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, guest: np.ndarr
     lacks, lacked = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
     most = np.minimum(n[r] - lacks, n[at] - lacked)
     good = 100 * most >= percent * (n[r] + n[at] - most)
-    a, b = doc[r[good]], doc[at[good]]
+    r, at = r[good], at[good]
+    if likeliest is not None and len(r):
+        most = most[good]
+        by = np.lexsort((-most / (n[r] + n[at] - most), comp[at], r))
+        new = np.ones(len(by), bool)
+        new[1:] = (r[by][1:] != r[by][:-1]) | (comp[at[by]][1:] != comp[at[by]][:-1])
+        heads = np.flatnonzero(new)
+        by = by[np.arange(len(by)) - heads[np.cumsum(new) - 1] < likeliest]
+        r, at = r[by], at[by]
+    a, b = doc[r], doc[at]
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _tasks(batches, percent: int):
+def _tasks(batches, percent: int, likeliest: int | None):
     """``tile_pairs`` of each run of rows with the same keys; rows come sorted by them."""
     held = None
     for batch in _and_end(batches):
@@ -232,7 +245,7 @@ def _tasks(batches, percent: int):
         doc, n, comp, side = (table[c].to_numpy().astype(np.int64) for c in ("rep", "n", "comp", "side"))
         guest = table["guest"].to_numpy(zero_copy_only=False).astype(bool)
         bits = [np.frombuffer(b.as_buffer(), "<u8") for b in table["bits"]]
-        found = [tile_pairs(doc[i:j], n[i:j], comp[i:j], guest[i:j], side[i:j], bits[i:j], percent) for i, j in zip(cuts[:last].tolist(), cuts[1 : last + 1].tolist(), strict=True)]
+        found = [tile_pairs(doc[i:j], n[i:j], comp[i:j], guest[i:j], side[i:j], bits[i:j], percent, likeliest) for i, j in zip(cuts[:last].tolist(), cuts[1 : last + 1].tolist(), strict=True)]
         if found:
             pairs = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
@@ -244,7 +257,7 @@ def _and_end(batches):
     yield None
 
 
-def open_pairs(settled: DataFrame, needed: DataFrame, percent: int, width: int, block_rows: int) -> DataFrame:
+def open_pairs(settled: DataFrame, bitmaps: DataFrame, percent: int, block_rows: int, likeliest: int | None) -> DataFrame:
     """Pairs of different components that meet in a tile and may reach the threshold.
 
     In each tile that holds several components, rows outside the largest one (strays) are dealt into blocks; each block
@@ -258,7 +271,7 @@ def open_pairs(settled: DataFrame, needed: DataFrame, percent: int, width: int,
     stray = F.col("comp") != F.col("main")
     block = F.pmod(F.xxhash64("rep"), F.when(stray, F.col("k")).otherwise(F.col("j"))).cast("int")
     # Tasks by kind: 0 has strays of block x, 1 those of blocks x and y, 2 those of block x and block y of the largest component.
-    dealt = settled.hint("merge").join(blocks.hint("merge"), tile).withColumn("block", block)
+    dealt = _at_tiles(settled, blocks).withColumn("block", block)
     met_by = F.when(
         stray,
         F.concat(
@@ -267,9 +280,9 @@ def open_pairs(settled: DataFrame, needed: DataFrame, percent: int, width: int,
         ),
     ).otherwise(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(o.alias("x"), F.lit(2).alias("kind"), F.col("block").alias("y"), F.lit(2).alias("side"))))
     met = dealt.select(*tile, "guest", "rep", "n", "comp", F.inline(met_by))
-    marked = met.hint("merge").join(with_bitmaps(needed, width).hint("merge"), "rep")
+    marked = met.hint("merge").join(bitmaps.hint("merge"), "rep")
     task = [*tile, "x", "kind", "y"]
-    return marked.repartition(*task).sortWithinPartitions(*task).mapInArrow(lambda batches: _tasks(batches, percent), "a long, b long").distinct()
+    return marked.repartition(*task).sortWithinPartitions(*task).mapInArrow(lambda batches: _tasks(batches, percent, likeliest), "a long, b long").distinct()
 
 
 def with_ids(docs: DataFrame, id_col: str) -> tuple[DataFrame, int | None]:
@@ -297,8 +310,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     return out if top is None else out.select(*[F.when(F.col(c) <= top, F.col(c)).alias(c) if c != "n_shingles" else F.col(c) for c in out.columns])
 
 
+def _at_tiles(rows: DataFrame, tiles: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their tile. A tile's rows are dealt by some salts, so one that many rows share isn't one key."""
+    each = tiles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).hint("merge").join(each.hint("merge"), ["token", "tile", "salt"]).drop("salt")
+
+
 def _tiles(reps: DataFrame, percent: int) -> DataFrame:
-    """``(token, tile, guest, rep, n, hub, hub_n, weight)``: the tiles of two members or more, those with the same members as one of that weight."""
+    """``(token, tile, guest, rep, n, hub, hub_n)``: the tiles of two members or more, one of those with the same members."""
     tile = ["token", "tile"]
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
     meets = reps.select("rep", "n", "own", F.explode("prefix").alias("token"), band.alias("b"))
@@ -309,8 +328,8 @@ def _tiles(reps: DataFrame, percent: int) -> DataFrame:
     members = tiles.groupBy(*tile).agg(
         F.count(F.lit(1)).alias("m"), F.bit_xor(seed(1)).alias("h1"), F.bit_xor(seed(2)).alias("h2"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min("guest").alias("idle"), F.min_by("rep", rank).alias("hub"), F.min_by("n", rank).alias("hub_n")
     )
-    hubs = members.filter("lo < hi and not idle").groupBy("tile", "m", "h1", "h2").agg(F.min("token").alias("token"), F.min_by("hub", "token").alias("hub"), F.min_by("hub_n", "token").alias("hub_n"), F.count(F.lit(1)).alias("weight"))
-    return stash(tiles.hint("merge").join(hubs.select(*tile, "hub", "hub_n", "weight").hint("merge"), tile).select(*tile, "guest", "rep", "n", "hub", "hub_n", "weight"), "tiles")
+    hubs = members.filter("lo < hi and not idle").groupBy("tile", "m", "h1", "h2").agg(F.min("token").alias("token"), F.min_by("hub", "token").alias("hub"), F.min_by("hub_n", "token").alias("hub_n"))
+    return stash(_at_tiles(tiles, hubs.select(*tile, "hub", "hub_n")).select(*tile, "guest", "rep", "n", "hub", "hub_n"), "tiles")
 
 
 def _named(rows: DataFrame, comps: DataFrame, col: str, name: str) -> DataFrame:
@@ -328,20 +347,17 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, per
     bodies = reps.select("rep", "body")
 
     compatible = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
-    spokes = stash(tiles.filter((F.col("rep") != F.col("hub")) & compatible).groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.sum("weight").alias("w")), "spokes")
-    best = spokes.groupBy("b").agg(F.max(F.struct("w", "a")).alias("s")).select(F.col("s.a").alias("a"), "b")
-    links = stash(verify(best, bodies, percent, width), "links")
-    comps = connected_components(links)
-    others = _named(_named(spokes, comps, "a", "ca"), comps, "b", "cb").filter("ca <> cb").select("a", "b").hint("merge").join(best.hint("merge"), ["a", "b"], "left_anti")
-    links = links.unionByName(stash(verify(others, bodies, percent, width), "links"))
-    comps = connected_components(links)
-
-    settled = _named(tiles.select("token", "tile", "guest", "rep", "n"), comps, "rep", "comp")
-    tried = spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = open_pairs(settled, bodies, percent, width, block_rows).hint("merge").join(tried.hint("merge"), ["a", "b"], "left_anti")
-    links = links.unionByName(stash(verify(more, bodies, percent, width), "links"))
-    discard(tiles, reps, spokes)
+    tried = stash(tiles.filter((F.col("rep") != F.col("hub")) & compatible).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "spokes")
+    links = stash(verify(tried, bodies, percent, width), "links")
     comps = connected_components(links)
+    spokes, bitmaps = tried, stash(with_bitmaps(bodies, width), "bitmaps")
+    for likeliest in (LIKELIEST, None):
+        settled = _named(tiles.select("token", "tile", "guest", "rep", "n"), comps, "rep", "comp")
+        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = stash(open_pairs(settled, bitmaps, percent, block_rows, likeliest).hint("merge").join(known.hint("merge"), ["a", "b"], "left_anti"), "more")
+        links = links.unionByName(stash(verify(more, bodies, percent, width), "links"))
+        comps, tried = connected_components(links), tried.unionByName(more)
+    discard(tiles, reps, spokes, bitmaps)
     by_class = _named(classes.select("key", "rep"), comps, "rep", "component_id").select("key", "component_id")
     linked = maybe.select("doc_id", "n", "key").hint("merge").join(by_class.hint("merge"), "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return described.filter("key is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")).unionByName(linked)
