@@ -29,28 +29,29 @@ PLACE_BITS = 26
 MESSAGES = "bucket long, chunk long, n int, body binary"
 
 
-def to_chunks(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = PART_BYTES, parts: int = PARTS, carry: tuple[str, ...] = ()) -> DataFrame:
+def to_chunks(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = PART_BYTES, parts: int = PARTS, carry: tuple[str, ...] | None = None) -> DataFrame:
     """``(chunk, size, parts)``, written once, so a chunk's name (its partition and number) stays. A part has ``ids``, ``sizes`` and
-    ``body``, and ``rest`` with the columns to carry along."""
-    rest = F.struct(F.col(text_col).isNull().alias("no_text"), *[F.col(f"`{c}`") for c in carry])
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"), *([rest.alias("rest")] if carry else []))
+    ``body``, and, where ``carry`` names columns (none of them will do), ``rest`` with ``no_text`` and those columns in ``cols``."""
+    rest = F.struct(F.col(text_col).isNull().alias("no_text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("cols")] if carry else []))
+    carries = carry is not None
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"), *([rest.alias("rest")] if carries else []))
 
     def run(batches):
         made, ids, texts, others, size, total, number, part, kind = [], [], [], [], 0, 0, 0, 0, None
 
         def close():
             body = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            made.append({"ids": list(ids), "sizes": [len(t) for t in texts], "body": body} | ({"rest": list(others)} if carry else {}))
+            made.append({"ids": list(ids), "sizes": [len(t) for t in texts], "body": body} | ({"rest": list(others)} if carries else {}))
             for x in (ids, texts, others):
                 x.clear()
 
         def chunk():
-            fields = [("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("body", pa.binary()), *([("rest", pa.list_(kind))] if carry else [])]
+            fields = [("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("body", pa.binary()), *([("rest", pa.list_(kind))] if carries else [])]
             return pa.RecordBatch.from_arrays([pa.array([part << 32 | number], pa.int64()), pa.array([total], pa.int64()), pa.array([made], pa.list_(pa.struct(fields)))], names=["chunk", "size", "parts"])
 
         for batch in batches:
-            more = batch.column(3).to_pylist() if carry else [None] * batch.num_rows
-            kind = batch.schema.field(3).type if carry else None
+            more = batch.column(3).to_pylist() if carries else [None] * batch.num_rows
+            kind = batch.schema.field(3).type if carries else None
             for i, text, p, other in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), more, strict=True):
                 part = p
                 ids.append(i)
@@ -69,7 +70,7 @@ def to_chunks(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = PAR
         if made:
             yield chunk()
 
-    kept = f", rest: array<{source.schema['rest'].dataType.simpleString()}>" if carry else ""
+    kept = f", rest: array<{source.schema['rest'].dataType.simpleString()}>" if carries else ""
     return stash(source.mapInArrow(run, f"chunk long, size long, parts array<struct<ids: array<bigint>, sizes: array<bigint>, body: binary{kept}>>"), "chunks")
 
 

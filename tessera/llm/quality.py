@@ -51,7 +51,7 @@ def _joined_lines(lines: Column) -> Column:
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Counts, the two verdicts and ``clean_text`` (failing lines removed) of each row; ``keep`` names columns to carry along, in the struct ``carried`` (their names may clash)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("__text"), F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in keep]).alias("__keep"))
+    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("__text"), (F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)).alias("__keep"))
     a = base.select("*", words_of(F.col("__text")).alias("__words"), F.split(F.col("__text"), "\n", -1).alias("__lines"))
     b = a.select("*", F.size("__words").cast("long").alias("n_words"), F.transform("__words", lambda w: F.xxhash64(w)).alias("__h"), F.filter("__lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__full"), F.transform("__lines", lambda x: line_fails(x)).alias("__bad"))
     windows = F.when(F.size("__h") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("__h") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__h", i, WINDOW))))

@@ -41,7 +41,7 @@ def frame(spark, docs):
 
 def test_substrings_against_brute_force(spark):
     docs = corpus()
-    got = {r["doc_id"]: r for r in substrings.repeats(frame(spark, docs), chunk_bytes=4000).collect()}
+    got = {r["doc_id"]: r for r in substrings.repeats(frame(spark, docs), part_bytes=4000).collect()}
     for i, (n, removed, kept) in brute.without_repeats(docs).items():
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept"], got[i]["kept_sha256"]) == (n, removed, kept, brute.digest(kept))
     assert substrings.repeats(frame(spark, docs[:1]).limit(0)).count() == 0
@@ -52,7 +52,7 @@ def test_substrings_against_brute_force(spark):
 @pytest.mark.parametrize("window", [2, 5, 8])
 def test_other_windows(spark, window):
     docs = corpus()[:30]
-    got = {r["doc_id"]: r["n_removed"] for r in substrings.repeats(frame(spark, docs), window=window, chunk_bytes=2000).collect()}
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.repeats(frame(spark, docs), window=window, part_bytes=2000).collect()}
     assert got == {i: x[1] for i, x in brute.without_repeats(docs, window).items()}
 
 
