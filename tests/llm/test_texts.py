@@ -162,18 +162,30 @@ def test_confident_contexts_find_new_identifiers(spark):
 def test_sharding(spark):
     docs = [*corpus(), (None, "n"), (None, "m")]
     df = frame(spark, docs)
-    out = sharding.shuffle_into_shards(df, "doc_id", 8, bucket_rows=16).collect()
+    out = sharding.shuffle_into_shards(df, 8, bucket_bytes=4000).collect()
     per = {s: sorted(r["slot"] for r in out if r["shard"] == s) for s in range(8)}
     assert sum(map(len, per.values())) == len(docs) and max(map(len, per.values())) - min(map(len, per.values())) <= 1
     assert all(v == list(range(len(v))) for v in per.values())
     assert sorted(str(r["record"]["doc_id"]) for r in out) == sorted(str(i) for i, _ in docs)
-    assert sharding.shuffle_into_shards(df.limit(0), "doc_id").count() == 0
+    assert sharding.shuffle_into_shards(df.limit(0)).count() == 0
     q = sharding.query(spark, SF).collect()
     assert len(q) == 200 and {r["law"] for r in q} == {"rows"}
 
 
+def test_sharding_is_one_order_a_seed(spark):
+    """Whatever the partitioning: ids and whole records that many rows share included."""
+    rows = [(i, t) for i, t in corpus()] + [(7, "copy")] * 5000 + [(7, f"same id {i}") for i in range(300)] + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = lambda d, seed=1: sorted((str(r["record"]["doc_id"]), str(r["record"]["text"]), r["shard"], r["slot"]) for r in sharding.shuffle_into_shards(d, bucket_bytes=20_000, seed=seed).collect())
+    one = placed(df.repartition(3))
+    assert one == placed(df.repartition(7, "text")) and one != placed(df, seed=2)
+    assert sorted((a, b) for a, b, _, _ in one) == sorted((str(i), str(t)) for i, t in rows)
+    copies = [slot * 8 + shard for _, t, shard, slot in one if t == "copy"]
+    assert 0.4 < sum(copies) / len(copies) / len(rows) < 0.6  # not together
+
+
 def test_shards_are_written(spark, tmp_path):
-    sharding.write_shards(frame(spark, corpus()).select("doc_id", "text"), str(tmp_path / "out"), shards=3, bucket_rows=20)
+    sharding.write_shards(frame(spark, corpus()).select("doc_id", "text"), str(tmp_path / "out"), shards=3, bucket_bytes=4000)
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 3
 
 
