@@ -76,7 +76,7 @@ def to_chunks(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = PAR
 
 def slim(chunks: DataFrame) -> DataFrame:
     """Chunks without the columns that they carry along."""
-    return chunks.select("chunk", F.transform("parts", lambda p: F.struct(p["ids"].alias("ids"), p["sizes"].alias("sizes"), p["body"].alias("body"))).alias("parts"))
+    return chunks.select("chunk", "size", F.transform("parts", lambda p: F.struct(p["ids"].alias("ids"), p["sizes"].alias("sizes"), p["body"].alias("body"))).alias("parts"))
 
 
 def bucket_count(chunks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:

@@ -11,15 +11,17 @@ becomes -ln(1 - s), a Zipfian unigram weight. A character without a piece is spe
 less 10 nats. Ties: the smaller last differing piece id wins within a unit; between texts' segmentations the later
 units' ranks are compared first. All arithmetic is exact.
 
-Null and empty texts have no pieces, and one segmentation. Repeated rows give equal rows. An empty table gives no rows.
+Null and empty texts have no pieces, and one segmentation. Repeated rows give equal rows. An empty table gives no rows. A text
+without any space is one unit; time and memory grow with its length alone. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
+from functools import cmp_to_key
 from itertools import product
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ NBEST = 4
 CACHE_UNITS = 300_000
 SIDE_BY_SIDE_LENGTH = 24
 _NONE = -(1 << 60)
+_estimate = itemgetter(0)
 _UNITS = re.compile("\n| *[^ \n]+| +")
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 _BATCH_CHARS = 3_000_000
@@ -42,6 +45,42 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+class _Paths:
+    """Paths as chains of parents, each with one pointer far up, so that two are compared in logarithmic time."""
+
+    def __init__(self):
+        self.parent, self.edge, self.depth, self.jump = [0], [0], [0], [0]
+
+    def add(self, parent: int, edge: int) -> int:
+        far = self.jump[parent]
+        level = self.depth[parent] - self.depth[far] == self.depth[far] - self.depth[self.jump[far]]
+        for column, value in ((self.parent, parent), (self.edge, edge), (self.depth, self.depth[parent] + 1), (self.jump, self.jump[far] if level else parent)):
+            column.append(value)
+        return len(self.edge) - 1
+
+    def edges(self, path: int) -> list[int]:
+        """The edges from the last one added to the first: a path runs from a unit's end to its start."""
+        out = []
+        while path:
+            out.append(self.edge[path])
+            path = self.parent[path]
+        return out
+
+    def before(self, x: int, y: int) -> bool:
+        """Whether path x comes before path y, edge by edge from the first one added; of two where one goes on, the shorter does."""
+        dx, dy = self.depth[x], self.depth[y]
+        for one in ("x", "y"):
+            node, depth = (x, dy) if one == "x" else (y, dx)
+            while self.depth[node] > depth:
+                node = self.jump[node] if self.depth[self.jump[node]] >= depth else self.parent[node]
+            x, y = (node, y) if one == "x" else (x, node)
+        if x == y:
+            return dx < dy
+        while self.parent[x] != self.parent[y]:
+            x, y = (self.jump[x], self.jump[y]) if self.jump[x] != self.jump[y] else (self.parent[x], self.parent[y])
+        return self.edge[x] < self.edge[y]
+
+
 class Model:
     def __init__(self, path: str):
         import sentencepiece
@@ -96,22 +135,54 @@ class Model:
         return out
 
     def search(self, unit: str, n: int) -> list[tuple[int, list[int]]]:
-        """The n best segmentations of a unit as (score, edges): backward A-star on forward Viterbi scores."""
+        """The n best segmentations of a unit as (score, edges): backward A-star on forward Viterbi scores.
+
+        The heuristic is exact, so each open path has a completion of its own at its estimate: only the n first can matter,
+        and the open list never holds more. Paths are chains of parents; the work grows with the unit's length.
+        """
         edges = self.edges(unit)
         forward = [0] + [_NONE] * len(unit)
         for j in range(1, len(unit) + 1):
             forward[j] = max(forward[i] + s for i, _, s in edges[j])
-        heap = [(-forward[-1], (), len(unit), 0)]
+        paths = _Paths()
+        opened = [(-forward[-1], 0, len(unit), 0)]  # estimate, path, position, score so far
         found = []
-        while heap and len(found) < n:
-            f, path, at, g = heapq.heappop(heap)
+        while opened and len(found) < n:
+            f, path, at, g = opened.pop(0)
             if at == 0:
-                found.append((-f, list(path[::-1])))
+                found.append((-f, paths.edges(path)))
                 continue
-            for i, edge, s in edges[at]:
-                heapq.heappush(heap, (-(g + s + forward[i]), (*path, edge), i, g + s))
+            more = opened + [(-(g + s + forward[i]), (path, edge), i, g + s) for i, edge, s in edges[at]]
+            if len(more) > 1:
+                more.sort(key=_estimate)
+                keep = min(len(more), n - len(found))
+                worst = more[keep - 1][0]
+                while len(more) > keep and more[-1][0] > worst:
+                    more.pop()
+            opened = [x if type(x[1]) is int else (x[0], paths.add(*x[1]), *x[2:]) for x in more]
+            if any(x[0] == y[0] for x, y in zip(opened, opened[1:], strict=False)):
+                opened.sort(key=cmp_to_key(lambda x, y: -1 if x[0] < y[0] or (x[0] == y[0] and paths.before(x[1], y[1])) else 1))
+                del opened[n - len(found) :]
         return found
 
+    def score_one(self, unit: str) -> tuple[list[int], int, int]:
+        """(edges of the best segmentation, its score, the second best score) of a unit of any length, in time that grows with it."""
+        edges, length = self.edges(unit), len(unit)
+        forward, back = [0] + [_NONE] * length, [_NONE] * length + [0]
+        for j in range(1, length + 1):
+            forward[j] = max(forward[i] + s for i, _, s in edges[j])
+        for j in range(length, 0, -1):
+            for i, _, s in edges[j]:
+                back[i] = max(back[i], s + back[j])
+        at, path, on = length, [], set()
+        while at:
+            edge, start = min((edge, i) for i, edge, s in edges[at] if forward[i] + s == forward[at])
+            path.append(edge)
+            on.add((start, at))
+            at = start
+        second = max((forward[i] + s + back[j] for j in range(1, length + 1) for i, _, s in edges[j] if (i, j) not in on), default=_NONE)
+        return path[::-1], forward[length], second if second > _NONE // 2 else _NONE
+
     def score_units(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(units in another order, ids of their best segmentations on end, how many each has, best and second best
         scores), those of one length side by side. ``_NONE`` where there is no second segmentation."""
@@ -126,8 +197,8 @@ class Model:
         return np.array([i for s in spelt for i in s], dtype=np.int64), np.array([len(s) for s in spelt], dtype=np.int64)
 
     def _score_long(self, units: list[str]):
-        two = [self.search(u, 2) for u in units]
-        return *self._spell_all([t[0][1] for t in two]), np.array([t[0][0] for t in two], dtype=np.int64), np.array([t[1][0] if len(t) > 1 else _NONE for t in two], dtype=np.int64)
+        two = [self.score_one(u) for u in units]
+        return *self._spell_all([t[0] for t in two]), np.array([t[1] for t in two], dtype=np.int64), np.array([t[2] for t in two], dtype=np.int64)
 
     def _score_group(self, units: list[str], length: int):
         n = len(units)

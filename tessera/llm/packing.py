@@ -32,6 +32,7 @@ from tessera.llm.common import stash
 CAPACITY = 2048
 CACHE_WORDS = 400_000
 PATIENCE = 100
+BROADCAST_ROWS = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -363,7 +364,10 @@ def complete_bins(counts: np.ndarray, capacity: int, node_limit: int = 1_000) ->
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, node_limit: int = 1_000) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, ...) with ``sequence_id`` and ``offset``. ``pieces`` is read twice: give a table."""
+    """``pieces`` (doc_id, piece, length, ids_crc32, ...) with ``sequence_id`` and ``offset``, in place of such columns if it has any.
+
+    Other columns stay, whatever their names. ``pieces`` is read twice: give a table.
+    """
     spark = pieces.sparkSession
     total = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `capacity` rows
     counts = np.zeros(capacity + 1, dtype=np.int64)
@@ -378,16 +382,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, node_limit: int = 1_000) -
             rank[length] += times
             offset += length
         base += times
-    where = spark.createDataFrame(rows or [(0, 0, 0, 0, 0)], "len long, low long, high long, base long, offset long")
+    where = spark.createDataFrame(rows or [(0, 0, 0, 0, 0)], "size long, low long, high long, base long, at long")
+    where = F.broadcast(where) if len(rows) <= BROADCAST_ROWS else where  # a few MB at most, else joined by length
     salts = int(min(4096, max(16, counts.sum() // 2000)))
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    within = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece")
-    sizes = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    ahead_of = sizes.select("length", "__salt", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__ahead"))
-    ranked = salted.withColumn("__place", F.row_number().over(within) - 1).join(ahead_of, ["length", "__salt"]).withColumn("__rank", F.col("__place") + F.col("__ahead"))
-    placed = ranked.join(F.broadcast(where), (F.col("length") == F.col("len")) & (F.col("__rank") >= F.col("low")) & (F.col("__rank") < F.col("high")))
-    return placed.withColumn("sequence_id", F.col("base") + F.col("__rank") - F.col("low")).select(*pieces.columns, "sequence_id", "offset")
+    given = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    salted = pieces.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("row"), F.col("length").alias("size"), F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).alias("salt"))
+    within = Window.partitionBy("size", "salt").orderBy("row.doc_id", "row.piece")
+    sizes = salted.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    ahead_of = sizes.select("size", "salt", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    ranked = salted.withColumn("place", F.row_number().over(within) - 1).join(ahead_of, ["size", "salt"]).withColumn("rank", F.col("place") + F.col("ahead"))
+    placed = ranked.join(where.withColumnRenamed("size", "len"), (F.col("size") == F.col("len")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    return placed.select(*[F.col("row")[c].alias(c) for c in given], (F.col("base") + F.col("rank") - F.col("low")).alias("sequence_id"), F.col("at").alias("offset"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -161,21 +161,25 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """Documents with each span replaced by its kind in brackets; overlapping spans become one. Others stay as they are."""
-    spans = extract(docs).filter(F.size("all_spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("all_spans").alias("__spans")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash")), "left")
-    ordered = F.array_sort(F.transform("__spans", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"))))
-    steps = joined.withColumn("__ordered", ordered)
+    """Documents with each span replaced by its kind in brackets; overlapping spans become one. Others stay as they are.
+
+    The columns of ``docs`` stay, whatever their names; ``n_chars``, where there is one, follows the text. Rows travel as structs.
+    """
+    spans = extract(docs).filter(F.size("all_spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("all_spans").alias("spans")).withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    joined = rows.join(spans, F.col("doc").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
+    text = F.col("row")["text"]
+    ordered = F.array_sort(F.transform("spans", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"))))
+    steps = joined.select("row", F.col("spans").isNotNull().alias("hit"), ordered.alias("ordered"))
     cut = F.aggregate(
-        "__ordered",
+        "ordered",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, m: F.struct(
-            F.when(m["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, m["start"] - acc["at"]), F.lit("["), m["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"),
+            F.when(m["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, m["start"] - acc["at"]), F.lit("["), m["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["at"], m["end"]).alias("at"),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2147483647))),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2147483647))),
     )
-    hit = F.col("__spans").isNotNull()
-    done = steps.withColumn("__text", F.when(hit, cut).otherwise(F.col("text")))
-    made = {"text": F.col("__text"), "n_chars": F.when(hit, F.char_length("__text").cast("long")).otherwise(F.col("n_chars"))}
-    return done.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+    done = steps.select("row", "hit", F.when(F.col("hit"), cut).otherwise(text).alias("new"))
+    made = {"text": F.col("new"), "n_chars": F.when(F.col("hit"), F.char_length("new").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return done.select(*[(made[c] if c in made else F.col("row")[c]).alias(c) for c in docs.columns])
