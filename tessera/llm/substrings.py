@@ -29,11 +29,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.chunks import MESSAGES, PART_BYTES, answers_of, bucket_count, exchange, messages, rows, slim, texts_of, to_chunks, with_answers
+from tessera.llm.chunks import MESSAGES, answers_of, bucket_count, exchange, messages, rows, slim, texts_of, to_chunks, with_answers
 from tessera.llm.common import Words, discard, stash, window_hashes
 
 START = 4
 CHUNK_PARTS = 4
+PART_BYTES = 3_000_000
 BASE_A, BASE_B = 0x9E6C63D0876A9A35, 0xC2B2AE3D27D4EB4F
 LAST_ID = np.iinfo(np.int64).max
 
