@@ -18,13 +18,16 @@ def matches(pattern):
         if op is c.LITERAL:
             return [chr(value)]
         if op is c.IN:
-            return [chr(v) for o, v in value if o is c.LITERAL]
+            return [chr(v) if o is c.LITERAL else chr(v[0]) for o, v in value]
+        if op is c.ANY:
+            return ["x"]
         if op is c.SUBPATTERN:
             return every(value[3])
         if op is c.BRANCH:
             return [t for branch in value[1] for t in every(branch)]
-        assert op is c.MAX_REPEAT and (value[0], value[1]) == (0, 1)
-        return ["", *every(value[2])]
+        assert op is c.MAX_REPEAT
+        some = [x * max(1, value[0]) for x in every(value[2])]
+        return ["", *some] if value[0] == 0 else some
 
     def every(parts):
         return ["".join(x) for x in product(*map(of, parts))]

@@ -30,8 +30,7 @@ def test_labels_against_a_plain_version(spark):
     assert len(licenses.NOTICES) + len(licenses.NAMES) + len(licenses.SINGLES) + sum(len(f[2]) for f in licenses.FAMILIES) > 200
     rng, texts = random.Random(1), []
     for r in rules:
-        simple = re.sub(r"\.\{1,80\}", "the owner", re.sub(r"\[0-9\]\{4\}", "2001", r.pattern)).replace("[1-4] [05]", "4 0").replace("[0-9] [0-9]", "1 0").replace("[0-9]", "1").replace("[123]", "3")
-        options = [t for t in matches(simple) if re.fullmatch(r.pattern, t)]
+        options = [t for t in matches(r.pattern) if re.fullmatch(r.pattern, t)]
         assert options and all(r.keyword in t for t in options), r
         texts.append(f"It says: {rng.choice(options)}.")
     texts += [" ".join(rng.choice(texts) for _ in range(4)) for _ in range(200)] + ["cc by sa 4 0 or later gnu gpl v3 only mit license apache license version 2.0", ""]
