@@ -153,7 +153,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataF
     """The pairs ``(a, b)`` whose sorted arrays reach the threshold. A set that many pairs name as ``a`` comes once for every
     ``HUB_ROWS`` of them, in keys of their own."""
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(HUB_ROWS)).cast("int").alias("k"))
-    salted = pairs.hint("merge").join(many.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"))
+    spread = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")  # the numbers themselves: a hub's pairs are several keys
+    each = many.withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = pairs.withColumn("spread", spread).hint("merge").join(each.hint("merge"), ["a", "spread"]).select("a", "b", F.pmod(F.xxhash64("b", F.lit(1)), F.col("k")).cast("int").alias("salt"))
     left = salted.hint("merge").join(sets.select(F.col("rep").alias("b"), F.col("body").alias("y")).hint("merge"), "b")
     hubs = many.hint("merge").join(sets.select(F.col("rep").alias("a"), F.col("body").alias("x")).hint("merge"), "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
     both = left.hint("merge").join(hubs.hint("merge"), ["a", "salt"]).select("a", "b", "x", "y")

@@ -153,7 +153,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.array_join(F.transform(spans, lambda m: F.concat_ws(":", m["kind"], m["start"].cast("string"), m["end"].cast("string"))), ",")
 
     out = joined.select("doc_id", "text_hash", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.concat(*parts).alias("base"), F.concat(*parts, more).alias("all_spans"))
-    return out.select("doc_id", "text_hash", *[f"n_{k}" for k in KINDS], F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.col("all_spans")).alias("spans"), "all_spans")
+    return out.select("doc_id", "text_hash", *[f"n_{k}" for k in KINDS], F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.col("all_spans")).alias("spans"), F.size("all_spans").cast("long").alias("n_spans"), "all_spans")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
