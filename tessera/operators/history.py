@@ -31,10 +31,10 @@ def churn(commits: DataFrame) -> DataFrame:
 def pair_counts(commits: DataFrame, max_files: int = dims.MAX_COMMIT_FILES) -> DataFrame:
     """``(a, b, shared)``: commits of 2 to ``max_files`` rows that touch both paths.
 
-    The size gate runs before the pairs, so a commit makes ``max_files``^2 / 2 pairs at most; a commit's paths are one
-    small array, and pairs come from it without a self join.
+    Large commits are dropped by a semi join before their paths are gathered, so no array grows with a commit, which makes
+    ``max_files``^2 / 2 pairs at most. A commit's paths are one small array, and pairs come from it without a self join.
     """
-    per = commits.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("path").isNotNull(), F.col("path"))).alias("paths"))
+    per = _gate_small(commits, max_files).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("path").isNotNull(), F.col("path"))).alias("paths"))
     gated = per.filter(F.col("n").between(2, max_files)).select(F.array_sort("paths").alias("p"))
     pairs = F.flatten(F.transform("p", lambda a, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return gated.select(F.explode(pairs).alias("x")).groupBy("x.a", "x.b").agg(F.count(F.lit(1)).alias("shared"))
@@ -47,8 +47,7 @@ def _gate_small(commits: DataFrame, max_files: int) -> DataFrame:
 
 def coupling(commits: DataFrame, min_shared: int = dims.MIN_SHARED, min_commits: int = dims.MIN_COMMITS, min_score: float = dims.MIN_COUPLING, top: int | None = dims.TOP_COUPLING, max_files: int = dims.MAX_COMMIT_FILES) -> DataFrame:
     """``(a, b, shared, coupling)``: shared commits over the smaller number of commits, the strongest pairs first."""
-    # Large commits are dropped by a semi join before their paths are gathered: no array grows with a commit.
-    counts = pair_counts(_gate_small(commits, max_files), max_files).filter(F.col("shared") >= min_shared)
+    counts = pair_counts(commits, max_files).filter(F.col("shared") >= min_shared)
     own = commits.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     both = counts.join(own.select(F.col("path").alias("a"), F.col("n").alias("na")), "a").join(own.select(F.col("path").alias("b"), F.col("n").alias("nb")), "b")
     score = F.col("shared") / F.least("na", "nb")

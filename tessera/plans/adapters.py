@@ -70,3 +70,21 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as scripts, for the rules of scripting languages."""
     p = table(spark, sf_dir, "pages")
     return p.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.lit("javascript").alias("language"), F.col("html").alias("content"))
+
+
+def part_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as source files ``(path, content)``: even keys are JavaScript, odd ones Python. Each imports the next of its kind (the
+    last one the first) and a package, and has one function, documented where the size is even, which calls the next file's."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("s"), (F.col("p_size") % 2 == 0).alias("even"))
+    top = part.agg(F.max("p_partkey").alias("top"))
+    k, n = F.col("p_partkey"), F.when(F.col("p_partkey") + 2 <= F.col("top"), F.col("p_partkey") + 2).otherwise(F.col("p_partkey") % 2).cast("string")
+    script = F.concat(
+        F.lit("import { f"), n, F.lit(" } from './m"), n, F.lit("';\nimport tool from 'tool"), (F.col("p_partkey") % 7).cast("string"), F.lit("';\n"), F.when(F.col("even"), "/** Says how. */\n").otherwise(""),
+        F.lit("export function f"), k.cast("string"), F.lit("(a) {\n  if (a > "), F.col("s"), F.lit(") {\n    return f"), n, F.lit("(a);\n  }\n  return a;\n}\n"),
+    )
+    python = F.concat(
+        F.lit("import os\nfrom .m"), n, F.lit(" import g"), n, F.lit("\n\n\ndef g"), k.cast("string"), F.lit("(a):\n"), F.when(F.col("even"), '    """Says how."""\n').otherwise(""),
+        F.lit("    if a > "), F.col("s"), F.lit(" and a:\n        return g"), n, F.lit("(a)\n    return a\n"),
+    )
+    odd = k % 2 == 1
+    return part.join(F.broadcast(top)).select(F.concat(F.when(odd, "py/m").otherwise("web/m"), k.cast("string"), F.when(odd, ".py").otherwise(".js")).alias("path"), F.when(odd, python).otherwise(script).alias("content"))

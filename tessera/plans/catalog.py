@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.functions import dims
-from tessera.operators import domains, graph, history, parse, summary, text, viz
+from tessera.operators import build, domains, graph, history, parse, resolve, summary, text, viz
 from tessera.plans import adapters as A
 from tessera.plans import samples
 from tessera.plans.project import AnalyzeOptions, Project
@@ -365,19 +365,44 @@ def _sample(spark: SparkSession) -> Project:
     return Project(spark, samples.frame(spark), AnalyzeOptions("demo", samples.CONFIG)).analyze()
 
 
-def _parsed(spark: SparkSession, languages: list[str]) -> DataFrame:
-    files = text.admit(samples.frame(spark)).filter(F.col("language").isin(languages))
+def _symbols(files: DataFrame) -> DataFrame:
     return parse.parse(files).select("path", "complexity", "doc_coverage", F.size("imports").alias("n_imports"), F.explode_outer("symbols").alias("s")).select("path", "complexity", "doc_coverage", "n_imports", "s.name", "s.kind", "s.line", "s.end_line", "s.exported", "s.documented")
 
 
-@query()
+def _parsed(spark: SparkSession, languages: list[str]) -> DataFrame:
+    return _symbols(text.admit(samples.frame(spark)).filter(F.col("language").isin(languages)))
+
+
+def _part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.admit(A.part_code(spark, sf_dir))
+
+
+def _part_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _part_files(spark, sf_dir)
+    found = parse.parse(files).select("path", F.posexplode("imports").alias("pos", "i")).select("path", "pos", "i.specifier", "i.kind", "i.line")
+    return resolve.resolve_imports(found, files.select("path"))
+
+
+def _part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.parse(_part_files(spark, sf_dir)).select("path", F.posexplode("symbols").alias("pos", "s")).select("path", "pos", "s.id", "s.name", "s.kind", "s.exported", "s.calls")
+
+
+# What the files made of parts say, in SQL: k is a file's own number, n that of the file that it imports and calls.
+_CODE = """code as (select k, n, s, even, odd, case when odd then concat('py/m', k, '.py') else concat('web/m', k, '.js') end path, case when odd then concat('py/m', n, '.py') else concat('web/m', n, '.js') end next_path
+from (select p_partkey k, case when p_partkey + 2 <= (select max(p_partkey) from part) then p_partkey + 2 else p_partkey % 2 end n, p_size s, p_size % 2 = 0 even, p_partkey % 2 = 1 odd from part)),
+own as (select path, concat(path, '#', case when odd then 'g' else 'f' end, k) id, concat(next_path, '#', case when odd then 'g' else 'f' end, n) callee, next_path, odd, k, n from code),
+said as (select path, case when odd then concat('.m', n) else concat('./m', n) end specifier, 'internal' kind, next_path resolved from own
+union all select path, case when odd then 'os' else concat('tool', k % 7) end, 'external', null from own)"""
+
+
+@query(f"with {_CODE} select path, 3 complexity, case when even then 100 else 0 end doc_coverage, 2 n_imports, concat('g', k) as name, 'function' kind, 5 line, case when even then 9 else 8 end end_line, true exported, even documented from code where odd")
 def parse_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, ["python"])
+    return _symbols(_part_files(spark, sf_dir).filter("language = 'python'"))
 
 
-@query()
+@query(f"with {_CODE} select path, 2 complexity, case when even then 100 else 0 end doc_coverage, 2 n_imports, concat('f', k) as name, 'function' kind, case when even then 4 else 3 end line, case when even then 9 else 8 end end_line, true exported, even documented from code where not odd")
 def parse_javascript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, dims.JS_LIKE)
+    return _symbols(_part_files(spark, sf_dir).filter(F.col("language").isin(dims.JS_LIKE)))
 
 
 @query()
@@ -385,14 +410,39 @@ def parse_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, ["go", "rust", "java"])
 
 
-@query()
+@query(f"with {_CODE} select path, specifier, kind, resolved from said")
 def resolve_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sample(spark).imports.select("path", "specifier", "kind", "resolved")
+    return _part_imports(spark, sf_dir).select("path", "specifier", "kind", "resolved")
 
 
-@query()
+@query(f"with {_CODE} select id source, callee target from own where id <> callee")
 def resolve_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sample(spark).edges.filter("type = 'calls'").select("source", "target")
+    return resolve.resolve_calls(_part_symbols(spark, sf_dir))
+
+
+@query(f"""with {_CODE}, e as (select path source, split_part(path, '/', 1) target, 'member-of' as type from own union all select path, id, 'contains' from own union all select id, callee, 'calls' from own
+union all select path, coalesce(resolved, concat('ext:', specifier)), 'imports' from said)
+select distinct concat(type, ':', source, '→', target) id, source, target, type from e where source <> target""")
+def part_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All relations of the files made of parts, with their folders as domains."""
+    return _part_graph(spark, sf_dir)[1].select("id", "source", "target", "type")
+
+
+@query(f"""with {_CODE} select path id, 'file' as type, parse_filename(path) label, path, case when odd then 'python' else 'javascript' end as language, case when odd then 3 else 2 end complexity, split_part(path, '/', 1) as domain, null kind, null file, null::boolean exported from own
+union all select id, 'symbol', split_part(id, '#', 2), null, null, null, null, 'function', path, true from own union all select split_part(path, '/', 1), 'domain', split_part(path, '/', 1), null, null, null, null, null, null, null from own group by 1
+union all select concat('ext:', specifier), 'external', specifier, null, null, null, null, null, null, null from said where resolved is null group by specifier""")
+def part_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of that graph, with the symbol plane at any size."""
+    return _part_graph(spark, sf_dir)[0].select("id", "type", "label", "path", "language", "complexity", "domain", "kind", "file", "exported")
+
+
+def _part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    parsed = parse.parse(_part_files(spark, sf_dir))
+    files = parsed.select("path", "language", F.lit(0).alias("loc"), "complexity", F.lit(0).alias("issues"))
+    members = domains.by_directory(files)
+    named = members.groupBy(F.col("domain").alias("id")).agg(F.count(F.lit(1)).alias("size")).select("id", F.col("id").alias("label"), "size", F.lit("").alias("color"))
+    none = spark.createDataFrame([], "source string, target string")
+    return build.build(files, _part_symbols(spark, sf_dir), _part_imports(spark, sf_dir), members, named, none, max_symbols=None)
 
 
 @query()
