@@ -357,8 +357,12 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, per
         settled = _named(tiles.select("token", "tile", "guest", "rep", "n"), comps, "rep", "comp")
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = stash(open_pairs(settled, bitmaps, percent, block_rows, likeliest).hint("merge").join(known.hint("merge"), ["a", "b"], "left_anti"), "more")
-        links = links.unionByName(stash(verify(more, bodies, percent, width), "links"))
-        comps, tried = connected_components(links), tried.unionByName(more)
+        if more.isEmpty():  # no pair of different components is left that may reach the threshold
+            break
+        new, tried = stash(verify(more, bodies, percent, width), "links"), tried.unionByName(more)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            comps = connected_components(links)
     discard(tiles, reps, spokes, bitmaps)
     by_class = _named(classes.select("key", "rep"), comps, "rep", "component_id").select("key", "component_id")
     linked = maybe.select("doc_id", "n", "key").hint("merge").join(by_class.hint("merge"), "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
