@@ -12,7 +12,7 @@
 5. In tiles still open, the rows outside the largest component meet all rows, in blocks. Bitmaps bound the overlap of
    members of different components from above (a bit of one that the other lacks is a shingle that the other lacks);
    only pairs whose bound reaches the threshold are intersected: first the likeliest few of each row and component, and
-   then, where these didn't connect the two, all the others.
+   then, in the tiles where others were withheld and these didn't connect the two, all the others.
 
 No bound or cap drops a pair. Documents in one component aren't compared again, which loses no component. Joins whose
 sides may both grow are sort-merge joins at every size.
@@ -201,9 +201,9 @@ def with_bitmaps(sets: DataFrame, width: int) -> DataFrame:
     return sets.select("rep", "body").mapInArrow(run, "rep long, bits binary")
 
 
-def tile_pairs(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, guest: np.ndarray, side: np.ndarray, given: list[np.ndarray], percent: int, likeliest: int | None) -> tuple[np.ndarray, np.ndarray]:
+def tile_pairs(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, guest: np.ndarray, side: np.ndarray, given: list[np.ndarray], percent: int, likeliest: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of different components in a tile (or its blocks), not both guests, whose bitmaps let them reach the threshold; of each row
-    and component the ``likeliest`` by that bound, or all.
+    and component the ``likeliest`` by that bound, or all. Last, whether any were withheld.
 
     ``side`` tells the rows that are compared with all others (0: this block's rows outside the largest component,
     1: another block of such, 2: the largest component's); two rows of side 1 or of side 2 are not.
@@ -213,7 +213,7 @@ def tile_pairs(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, guest: np.ndarr
     m &= np.minimum(n, n[own, None]) * 100 >= percent * np.maximum(n, n[own, None])
     r, at = np.nonzero(m)
     if not len(r):
-        return r, r
+        return r, r, False
     r = own[r]
     words = min(map(len, given))
     bits = np.stack([fold(b, words) for b in given])
@@ -222,6 +222,7 @@ def tile_pairs(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, guest: np.ndarr
     most = np.minimum(n[r] - lacks, n[at] - lacked)
     good = 100 * most >= percent * (n[r] + n[at] - most)
     r, at = r[good], at[good]
+    reach = len(r)
     if likeliest is not None and len(r):
         most = most[good]
         by = np.lexsort((-most / (n[r] + n[at] - most), comp[at], r))
@@ -231,11 +232,11 @@ def tile_pairs(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, guest: np.ndarr
         by = by[np.arange(len(by)) - heads[np.cumsum(new) - 1] < likeliest]
         r, at = r[by], at[by]
     a, b = doc[r], doc[at]
-    return np.minimum(a, b), np.maximum(a, b)
+    return np.minimum(a, b), np.maximum(a, b), len(r) < reach
 
 
 def _tasks(batches, percent: int, likeliest: int | None):
-    """``tile_pairs`` of each run of rows with the same keys; rows come sorted by them."""
+    """``tile_pairs`` of each run of rows with the same keys; rows come sorted by them. A tile with withheld pairs gives a row of its own."""
     held = None
     for batch in _and_end(batches):
         table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -250,7 +251,10 @@ def _tasks(batches, percent: int, likeliest: int | None):
         found = [tile_pairs(doc[i:j], n[i:j], comp[i:j], guest[i:j], side[i:j], bits[i:j], percent, likeliest) for i, j in zip(cuts[:last].tolist(), cuts[1 : last + 1].tolist(), strict=True)]
         if found:
             pairs = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+            short = np.unique(keys[:2, cuts[:last][[f[2] for f in found]]], axis=1)
+            none = lambda of, kind: pa.nulls(of.shape[1], kind)
+            both = [(none(short, pa.int64()), pa.array(pairs[0], pa.int64())), (none(short, pa.int64()), pa.array(pairs[1], pa.int64())), (pa.array(short[0], pa.int64()), none(pairs, pa.int64())), (pa.array(short[1], pa.int32()), none(pairs, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in both], names=["a", "b", "token", "tile"])
         held = None if batch is None else table.slice(int(cuts[-2]))
 
 
@@ -260,7 +264,8 @@ def _and_end(batches):
 
 
 def open_pairs(settled: DataFrame, bitmaps: DataFrame, percent: int, block_rows: int, likeliest: int | None) -> DataFrame:
-    """Pairs of different components that meet in a tile and may reach the threshold.
+    """Pairs ``(a, b)`` of different components that meet in a tile and may reach the threshold, and ``(token, tile)`` of the
+    tiles that withheld some.
 
     In each tile that holds several components, rows outside the largest one (strays) are dealt into blocks; each block
     meets itself, every later block of strays, and every block of the largest component. So a component's rows
@@ -284,7 +289,7 @@ def open_pairs(settled: DataFrame, bitmaps: DataFrame, percent: int, block_rows:
     met = dealt.select(*tile, "guest", "rep", "n", "comp", F.inline(met_by))
     marked = met.hint("merge").join(bitmaps.hint("merge"), "rep")
     task = [*tile, "x", "kind", "y"]
-    return marked.repartition(*task).sortWithinPartitions(*task).mapInArrow(lambda batches: _tasks(batches, percent, likeliest), "a long, b long").distinct()
+    return marked.repartition(*task).sortWithinPartitions(*task).mapInArrow(lambda batches: _tasks(batches, percent, likeliest), "a long, b long, token long, tile int").distinct()
 
 
 def with_ids(docs: DataFrame, id_col: str) -> tuple[DataFrame, int | None]:
@@ -353,16 +358,21 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, per
     links = stash(verify(tried, bodies, percent, width), "links")
     comps = connected_components(links)
     spokes, bitmaps = tried, stash(with_bitmaps(bodies, width), "bitmaps")
+    left = tiles.select("token", "tile", "guest", "rep", "n")
     for likeliest in (LIKELIEST, None):
-        settled = _named(tiles.select("token", "tile", "guest", "rep", "n"), comps, "rep", "comp")
+        met = stash(open_pairs(_named(left, comps, "rep", "comp"), bitmaps, percent, block_rows, likeliest), "met")
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = stash(open_pairs(settled, bitmaps, percent, block_rows, likeliest).hint("merge").join(known.hint("merge"), ["a", "b"], "left_anti"), "more")
-        if more.isEmpty():  # no pair of different components is left that may reach the threshold
+        more = stash(met.filter("a is not null").select("a", "b").hint("merge").join(known.hint("merge"), ["a", "b"], "left_anti"), "more")
+        # All pairs of the other tiles are in ``more`` or were tried before: only tiles with withheld pairs have any left.
+        withheld = met.filter("token is not null").select("token", "tile").distinct()
+        left = left.hint("merge").join(withheld.hint("merge"), ["token", "tile"], "left_semi")
+        if not more.isEmpty():
+            new, tried = stash(verify(more, bodies, percent, width), "links"), tried.unionByName(more)
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                comps = connected_components(links)
+        if withheld.isEmpty():
             break
-        new, tried = stash(verify(more, bodies, percent, width), "links"), tried.unionByName(more)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            comps = connected_components(links)
     discard(tiles, reps, spokes, bitmaps)
     by_class = _named(classes.select("key", "rep"), comps, "rep", "component_id").select("key", "component_id")
     linked = maybe.select("doc_id", "n", "key").hint("merge").join(by_class.hint("merge"), "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
