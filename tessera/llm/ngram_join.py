@@ -41,6 +41,7 @@ SHINGLE = 5
 PERCENT = 80
 PART_BYTES = 4_000_000
 BLOCK_ROWS = 256
+BITS = 4
 LIKELIEST = 2
 SALTS = 8
 HUB_ROWS = 256
@@ -178,8 +179,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataF
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """A hashed signature of eight bits or more a shingle, its length a power of two, so that halves can be folded."""
-    words = 1 << int(max(0, np.ceil(np.log2(max(1, 8 * len(values) / 64)))))
+    """A hashed signature of ``BITS`` bits or more a shingle, its length a power of two, so that halves can be folded.
+
+    Texts without shared shingles differ in most of their own at four bits already, so their bound stays far from the
+    threshold; only pairs little below it pass more often than with more bits, and the exact intersection drops them.
+    """
+    words = 1 << int(max(0, np.ceil(np.log2(max(1, BITS * len(values) / 64)))))
     bits = np.zeros(words * 64, np.uint8)
     bits[(values >> np.uint64(20)) % np.uint64(words * 64)] = 1
     return np.packbits(bits, bitorder="little").view("<u8")
