@@ -370,7 +370,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, per
         more = stash(met.filter("a is not null").select("a", "b").hint("merge").join(known.hint("merge"), ["a", "b"], "left_anti"), "more")
         # All pairs of the other tiles are in ``more`` or were tried before: only tiles with withheld pairs have any left.
         withheld = met.filter("token is not null").select("token", "tile").distinct()
-        left = left.hint("merge").join(withheld.hint("merge"), ["token", "tile"], "left_semi")
+        left = _at_tiles(left, withheld)
         if not more.isEmpty():
             new, tried = stash(verify(more, bodies, percent, width), "links"), tried.unionByName(more)
             if not new.isEmpty():
