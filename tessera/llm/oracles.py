@@ -1,6 +1,4 @@
-"""DuckDB SQL of the queries that SQL can express."""
-
-from tessera.llm import quality
+"""DuckDB SQL of the queries that SQL can express, with values of its own."""
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -32,7 +30,13 @@ def _count(pattern: str) -> str:
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
-_BOILERPLATE = "|".join(quality.BOILERPLATE)
+_PHRASES = (
+    "accept all cookies|add to cart|all rights reserved|back to top|by using this site|click here|cookie policy|create an account|"
+    "enable javascript|follow us on|forgot your password|javascript is disabled|leave a comment|log in to|lorem ipsum|"
+    "newsletter|powered by|privacy policy|read more|share on|sign up for|skip to content|subscribe to|terms of service|"
+    "terms of use|this site uses cookies|we use cookies"
+)
+_BOILERPLATE = r"(?i)(?:^|[^\p{L}\p{N}_])(?:" + _PHRASES + r")(?:[^\p{L}\p{N}_]|$)"
 
 QUALITY = f"""
 with d as (select doc_id, coalesce(text, '') t, {_WORDS.format("coalesce(text, '')")} w, string_split(coalesce(text, ''), chr(10)) lines from documents),
@@ -42,8 +46,8 @@ m as (select doc_id, k from s group by 1, 2 having count(*) > 1),
 c as (select doc_id, count(distinct p + r.range) n from s semi join m on m.doc_id = s.doc_id and m.k = s.k, range(8) r group by 1),
 l as (select doc_id, unnest(lines) x from d),
 k as (select doc_id, x, {_count(_WORD)} n, {_count("(?:^|[ ])[|»›·•>][ ]|[|]$")} sep, {_count("[!?]{2,}")} shout, {_count(r"[#*$%&|<>{}~^=\\]{2,}")} clutter from l),
-f as (select doc_id, x, n, n > 0 and (sep >= 3 and sep * 2 >= n - sep or shout * 10 >= n * 3 or clutter * 10 >= n * 3 or n >= 60 and not regexp_matches(x, '[.!?…。！？]')
-or n <= 30 and regexp_matches(x, '(?i){_BOILERPLATE}')) bad from k),
+f as (select doc_id, x, n, n > 0 and (sep >= 3 and sep * 2 >= n - sep or shout * 10 >= n * 3 or clutter * 10 >= n * 3 or n >= 60 and not regexp_matches(x, '[.!?…。！？．｡؟۔।॥։።፧။។]')
+or n <= 30 and {_count(_BOILERPLATE)} * 10 >= n) bad from k),
 z as (select doc_id, sum(n) filter (not bad) n_left, count(*) filter (n > 0) - count(distinct x) filter (n > 0) dup from f group by 1),
 o as (select d.doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint n_symbols, dup::bigint n_dup_lines,
 coalesce(c.n, 0)::bigint n_repeat_words, coalesce(n_left, 0)::bigint n_left from d join z using (doc_id) left join c using (doc_id)),

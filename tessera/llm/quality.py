@@ -1,7 +1,8 @@
 """Line-first quality rules, in one projection of built-in functions: no shuffle, no Python.
 
 Each line is judged on its own: punctuation (shouting marks, symbol clutter, long lines without a sentence mark),
-navigation (menus of separated items) and boilerplate (fixed phrases in a short line). Failing lines are removed;
+navigation (menus of separated items) and boilerplate (fixed phrases, as whole words, one or more for every ten words
+of a short line). Failing lines are removed;
 a document that loses more than half of its words so is rejected. Documents with too few words, or with too many
 words inside repeated 8-word windows, are rejected before that.
 
@@ -18,6 +19,12 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MAX_LOST_PERCENT = 50
+BOILERPLATE_WORDS = 30
+WORDS_PER_PHRASE = 10
+BETWEEN = r"[^\p{L}\p{N}_]"
+
+# Fixed marks that end a sentence, in the scripts that have their own.
+SENTENCE_MARKS = ".!?…。！？．｡؟۔।॥։።፧။។"
 
 # Fixed phrases that mark a short line as boilerplate.
 BOILERPLATE = [
@@ -39,8 +46,9 @@ def line_fails(line: Column) -> Column:
     navigation = (separators >= 3) & (separators * 2 >= n_words - separators)
     shouting = F.regexp_count(line, F.lit(r"[!?]{2,}")) * 10 >= n_words * 3
     clutter = F.regexp_count(line, F.lit(r"[#*$%&|<>{}~^=\\]{2,}")) * 10 >= n_words * 3
-    no_sentence = (n_words >= 60) & (~line.rlike(r"[.!?…。！？]"))
-    boilerplate = (n_words <= 30) & line.rlike("(?i)" + "|".join(BOILERPLATE))
+    no_sentence = (n_words >= 60) & (~line.rlike(f"[{SENTENCE_MARKS}]"))
+    phrases = F.regexp_count(line, F.lit(rf"(?i)(?:^|{BETWEEN})(?:{'|'.join(BOILERPLATE)})(?:{BETWEEN}|$)"))
+    boilerplate = (n_words <= BOILERPLATE_WORDS) & (phrases * WORDS_PER_PHRASE >= n_words)
     return (n_words > 0) & (navigation | shouting | clutter | no_sentence | boilerplate)
 
 
