@@ -6,7 +6,8 @@
 2. Documents with equal sets are one class, represented by the smallest doc_id.
 3. Two linked sets share one of their rarest probes (all but those that a partner must share, less one). Representatives
    meet in tiles, named by such a shingle and a size band: bands are a factor of 1 / threshold wide, so partners are in
-   the same or the next band. Tiles with the same members are one.
+   the same or the next band. Tiles with the same members are one, and so are those of one hub and band whose members
+   make fewer pairs together than tile by tile: copies that share many rare probes meet once, not once a probe.
 4. Each tile has a hub, the member with the fewest shingles of its own, with which its other members are compared.
    Components of these links settle tiles in which all members are then connected.
 5. In tiles still open, the rows outside the largest component meet all rows, in blocks. Bitmaps bound the overlap of
@@ -322,14 +323,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     return out if top is None else out.select(*[F.when(F.col(c) <= top, F.col(c)).alias(c) if c != "n_shingles" else F.col(c) for c in out.columns])
 
 
-def _at_tiles(rows: DataFrame, tiles: DataFrame) -> DataFrame:
+def _at_tiles(rows: DataFrame, tiles: DataFrame, key: tuple[str, str] = ("token", "tile")) -> DataFrame:
     """``rows`` with the columns of their tile. A tile's rows are dealt by some salts, so one that many rows share isn't one key."""
     each = tiles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).hint("merge").join(each.hint("merge"), ["token", "tile", "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).hint("merge").join(each.hint("merge"), [*key, "salt"]).drop("salt")
 
 
 def _tiles(reps: DataFrame, percent: int) -> DataFrame:
-    """``(token, tile, guest, rep, n, hub, hub_n)``: the tiles of two members or more, one of those with the same members."""
+    """``(token, tile, guest, rep, n, hub, hub_n)``: the tiles of two members or more, one of those with the same members, and
+    one of a hub's where their union makes no more pairs than they do one by one."""
     tile = ["token", "tile"]
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
     meets = reps.select("rep", "n", "own", F.explode("prefix").alias("token"), band.alias("b"))
@@ -341,7 +343,14 @@ def _tiles(reps: DataFrame, percent: int) -> DataFrame:
         F.count(F.lit(1)).alias("m"), F.bit_xor(seed(1)).alias("h1"), F.bit_xor(seed(2)).alias("h2"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min("guest").alias("idle"), F.min_by("rep", rank).alias("hub"), F.min_by("n", rank).alias("hub_n")
     )
     hubs = members.filter("lo < hi and not idle").groupBy("tile", "m", "h1", "h2").agg(F.min("token").alias("token"), F.min_by("hub", "token").alias("hub"), F.min_by("hub_n", "token").alias("hub_n"))
-    return stash(_at_tiles(tiles, hubs.select(*tile, "hub", "hub_n")).select(*tile, "guest", "rep", "n", "hub", "hub_n"), "tiles")
+    columns, kin = [*tile, "guest", "rep", "n", "hub", "hub_n"], ("tile", "hub")
+    apart = stash(_at_tiles(tiles, hubs.select(*tile, "hub", "hub_n")).select(*columns), "apart")
+    pairs = apart.groupBy(*tile, "hub").agg(F.count(F.lit(1)).alias("m")).groupBy(*kin).agg(F.min("token").alias("first"), F.sum(F.col("m") * F.col("m")).alias("pairs"))
+    union = apart.select(*kin, "rep").distinct().groupBy(*kin).agg(F.count(F.lit(1)).alias("u"))
+    shared = pairs.hint("merge").join(union.hint("merge"), [*kin]).select(*kin, F.when(F.col("u") * F.col("u") <= F.col("pairs"), F.col("first")).alias("first"))
+    one = stash(_at_tiles(apart, shared, kin).withColumn("token", F.coalesce("first", "token")).select(*columns).distinct(), "tiles")
+    discard(apart)
+    return one
 
 
 def _named(rows: DataFrame, comps: DataFrame, col: str, name: str) -> DataFrame:
