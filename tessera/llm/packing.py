@@ -20,7 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +67,8 @@ def split_words(texts: list[str | None]) -> list[list[bytes]]:
 class WordCache:
     """Token ids of words; unseen words of a batch are encoded together, joined by a word with a single id.
 
-    It lives as long as its Python worker, and is emptied when it exceeds ``limit`` words, which bounds memory and
-    changes no result.
+    It lives as long as its Python worker. When it exceeds ``limit`` words, those not met again in a later batch are dropped
+    (all, if more than half were), which bounds memory and changes no result.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
@@ -88,6 +88,17 @@ class WordCache:
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.ids, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.met = np.empty(0, bool)
+
+    def trim(self) -> None:
+        index, kept = self.index, np.flatnonzero(self.met)
+        if 2 * len(kept) > self.limit:
+            return self.clear()
+        words, sizes = list(index), self.sizes[kept].astype(np.int64)
+        ends = np.cumsum(sizes)
+        flat = self.ids[np.repeat(self.starts[kept] - ends + sizes, sizes) + np.arange(sizes.sum())]
+        self.clear()
+        self._learn([words[i] for i in kept.tolist()], flat, sizes)
 
     def _one_by_one(self, words: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)]
@@ -96,6 +107,7 @@ class WordCache:
         self.index.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
         self.starts = np.concatenate((self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)))
         self.ids, self.sizes = np.concatenate((self.ids, flat)), np.concatenate((self.sizes, sizes.astype(np.int32)))
+        self.met = np.concatenate((self.met, np.zeros(len(words), bool)))
 
     def learn(self, words: list[bytes]) -> None:
         safe, odd = [], []
@@ -123,9 +135,10 @@ class WordCache:
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the words on end, and how many each has."""
         if len(self.index) > self.limit:
-            self.clear()
+            self.trim()
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
         missing = np.flatnonzero(at < 0)
+        self.met[at[at >= 0]] = True
         if len(missing):
             unseen = [words[i] for i in missing]
             self.learn(list(dict.fromkeys(unseen)))
@@ -152,7 +165,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
                     part.append(texts[at + len(part)].as_py())
                     size += len(part[-1] or "")
                 group = split_words(part)
-                flat, sizes = cache.encode([w for words in group for w in words])
+                flat, sizes = cache.encode(list(chain.from_iterable(group)))
                 ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, group)])]
                 rows = []
                 for k in range(len(group)):
