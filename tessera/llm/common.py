@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 import weakref
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +66,24 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker serves many stages, and what the largest left behind counts in all of them."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def giving_back(run):
+    """``run``, a function of batches, followed by ``give_back`` once its own arrays are gone."""
+
+    @wraps(run)
+    def each(batches):
+        yield from run(batches)
+        give_back()
+
+    return each
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one where ``df`` has such a column (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

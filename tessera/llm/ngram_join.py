@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import MESSAGES, answers_of, bucket_count, exchange, messages, rows, texts_of, to_chunks, with_answers
-from tessera.llm.common import Words, discard, free_name, stash, window_hashes
+from tessera.llm.common import Words, discard, free_name, giving_back, stash, window_hashes
 from tessera.llm.components import connected_components
 
 SHINGLE = 5
@@ -46,6 +46,7 @@ BITS = 4
 LIKELIEST = 2
 SALTS = 8
 HUB_ROWS = 256
+PAIR_BYTES = 1_000_000
 BASE = 0xD6E8FEB86659FD93
 
 
@@ -102,7 +103,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         _, at, count = np.unique(keys, return_inverse=True, return_counts=True)
         return (np.floor(np.log2(count)).astype(np.int64) + (count > 1))[at]
 
-    grades = exchange(chunks.mapInArrow(ask, MESSAGES), judge, "grades")
+    grades = exchange(chunks.mapInArrow(giving_back(ask), MESSAGES), judge, "grades")
 
     def grade(batches):
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -110,7 +111,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
             all_sets = [shingle_sets(texts_of(p), width) for p in parts]
             values, count = np.unique(np.concatenate([probes(sets) for sets in all_sets]), return_counts=True)
             far = answers_of(one, 0, len(values))
-            rarity = np.where((far == 0) & (count == 1), 0, far.astype(np.int64) + 1)
+            rarity = np.where((far == 0) & (count == 1), np.uint8(0), far + np.uint8(1))
             seen = set()
             for p, sets in zip(parts, all_sets, strict=True):
                 out = []
@@ -134,7 +135,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
                     columns = zip(*out[a : a + 512], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n", "own", "key", "chunk", "body", "prefix"])
 
-    sets = stash(with_answers(chunks, grades).mapInArrow(grade, "doc_id long, n long, own long, key binary, chunk long, body binary, prefix array<long>"), "sets")
+    sets = stash(with_answers(chunks, grades).mapInArrow(giving_back(grade), "doc_id long, n long, own long, key binary, chunk long, body binary, prefix array<long>"), "sets")
     discard(chunks, grades)
     return sets
 
@@ -161,22 +162,24 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataF
     left = salted.hint("merge").join(sets.select(F.col("rep").alias("b"), F.col("body").alias("y")).hint("merge"), "b")
     hubs = many.hint("merge").join(sets.select(F.col("rep").alias("a"), F.col("body").alias("x")).hint("merge"), "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
     both = left.hint("merge").join(hubs.hint("merge"), ["a", "salt"]).select("a", "b", "x", "y")
-
-    def run(batches):
-        for batch in batches:
-            a, x = batch.column(0).to_numpy(), batch.column(2)
-            new = np.flatnonzero(np.diff(a, prepend=a[:1] - 1)) if len(a) else np.empty(0, np.int64)
-            heads = dict(_sets_of([x[i].as_py() for i in new.tolist()], width))
-            of = np.cumsum(np.isin(np.arange(len(a)), new)) - 1
-            ok = np.zeros(len(a), bool)
-            for i, t in _sets_of(batch.column(3).to_pylist(), width):
-                s = heads[int(of[i])]
-                shared = len(np.intersect1d(s, t, assume_unique=True))
-                ok[i] = 100 * shared >= percent * (len(s) + len(t) - shared)
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(giving_back(lambda batches: _linked(batches, percent, width)), "a long, b long")
+
+
+def _linked(batches, percent: int, width: int):
+    """``(a, b)`` of the rows ``(a, b, x, y)`` whose texts reach the threshold; rows of one ``a`` in a row share its set, and no other's is held."""
+    for batch in batches:
+        a, x = batch.column(0).to_numpy(), batch.column(2)
+        new = np.flatnonzero(np.diff(a, prepend=a[:1] - 1)) if len(a) else np.empty(0, np.int64)
+        heads, head = _sets_of([x[i].as_py() for i in new.tolist()], width), -1
+        of = np.cumsum(np.isin(np.arange(len(a)), new)) - 1
+        ok = np.zeros(len(a), bool)
+        for i, t in _sets_of(batch.column(3).to_pylist(), width):
+            while head < of[i]:
+                head, s = next(heads)
+            shared = len(np.intersect1d(s, t, assume_unique=True))
+            ok[i] = 100 * shared >= percent * (len(s) + len(t) - shared)
+        mask = pa.array(ok, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
@@ -204,7 +207,7 @@ def with_bitmaps(sets: DataFrame, width: int) -> DataFrame:
             made = [bitmap(s).tobytes() for _, s in _sets_of(batch.column(1).to_pylist(), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["rep", "bits"])
 
-    return sets.select("rep", "body").mapInArrow(run, "rep long, bits binary")
+    return sets.select("rep", "body").mapInArrow(giving_back(run), "rep long, bits binary")
 
 
 def tile_pairs(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, guest: np.ndarray, side: np.ndarray, given: list[np.ndarray], percent: int, likeliest: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -223,8 +226,11 @@ def tile_pairs(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, guest: np.ndarr
     r = own[r]
     words = min(map(len, given))
     bits = np.stack([fold(b, words) for b in given])
-    x, y = bits[r], bits[at]
-    lacks, lacked = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+    lacks, lacked = np.empty(len(r), np.int64), np.empty(len(r), np.int64)
+    step = max(1, PAIR_BYTES // (8 * words))
+    for i in range(0, len(r), step):
+        x, y = bits[r[i : i + step]], bits[at[i : i + step]]
+        lacks[i : i + step], lacked[i : i + step] = (np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64) for p, q in ((x, y), (y, x)))
     most = np.minimum(n[r] - lacks, n[at] - lacked)
     good = 100 * most >= percent * (n[r] + n[at] - most)
     r, at = r[good], at[good]
@@ -295,7 +301,7 @@ def open_pairs(settled: DataFrame, bitmaps: DataFrame, percent: int, block_rows:
     met = dealt.select(*tile, "guest", "rep", "n", "comp", F.inline(met_by))
     marked = met.hint("merge").join(bitmaps.hint("merge"), "rep")
     task = [*tile, "x", "kind", "y"]
-    return marked.repartition(*task).sortWithinPartitions(*task).mapInArrow(lambda batches: _tasks(batches, percent, likeliest), "a long, b long, token long, tile int").distinct()
+    return marked.repartition(*task).sortWithinPartitions(*task).mapInArrow(giving_back(lambda batches: _tasks(batches, percent, likeliest)), "a long, b long, token long, tile int").distinct()
 
 
 def with_ids(docs: DataFrame, id_col: str) -> tuple[DataFrame, int | None]:
