@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.functions import dims
+from tessera.functions.tables import cut
 
 
 def known_only(commits: DataFrame, files: DataFrame) -> DataFrame:
@@ -112,14 +113,16 @@ def hotspots(files: DataFrame, stats: DataFrame, top: int | None = dims.TOP_HOTS
 def pick_evenly(items: DataFrame, order: str, points: int) -> DataFrame:
     """A systematic sample that keeps both ends: row round(i * last / (n - 1)) for i below n; ``points`` is clamped to 2..60.
 
-    Rows get their place by a range exchange and offsets of its partitions, not by one sorted task.
+    Rows get their place by a range exchange and offsets of its partitions, not by one sorted task. The exchange is written
+    once, as its bounds come from samples: a second evaluation cuts at other rows. Nulls come last.
     """
     n = max(2, min(60, points))
-    ranked = items.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id())
+    by = F.asc_nulls_last(order)
+    ranked = cut(items.repartitionByRange(by).sortWithinPartitions(by).withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id()))
     sizes = ranked.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__in").alias("__first"))
     offsets = sizes.select("__part", "__first", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     placed = ranked.join(F.broadcast(offsets), "__part").withColumn("__at", F.col("__in") - F.col("__first") + F.col("__before"))
-    last = items.agg((F.count(F.lit(1)) - 1).alias("__last"))
+    last = sizes.agg((F.sum("__n") - 1).alias("__last"))
     picks = items.sparkSession.range(n).join(F.broadcast(last)).select(F.when(F.col("__last") + 1 <= n, F.col("id")).otherwise(F.floor(F.col("id") * F.col("__last") / F.lit(n - 1) + 0.5)).alias("__at")).distinct()
     return placed.join(F.broadcast(picks), "__at", "left_semi").drop("__part", "__in", "__at", "__first", "__before", "__n")
 

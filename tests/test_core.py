@@ -54,6 +54,13 @@ def test_pick_evenly_keeps_both_ends(spark):
     assert sorted(r["id"] for r in history.pick_evenly(spark.range(4), "id", 20).collect()) == [0, 1, 2, 3]
 
 
+def test_pick_evenly_is_exact_over_many_range_partitions(spark, tmp_path):
+    spark.range(600_000, numPartitions=3).select((F.col("id") * 7919 % 600_000).alias("k"), (F.col("id") % 97).alias("v")).write.parquet(str(tmp_path / "t"))
+    items = spark.read.parquet(str(tmp_path / "t"))
+    want = [int(i * 599_999 / 19 + 0.5) for i in range(20)]
+    assert sorted(r["k"] for r in history.pick_evenly(items, "k", 20).collect()) == want
+
+
 def test_hotspot_and_risk(spark):
     files = spark.createDataFrame([("hot", 40), ("calm", 1)], "path string, complexity int")
     stats = spark.createDataFrame([("hot", 40), ("calm", 1)], "path string, commits long")
