@@ -133,7 +133,8 @@ def nearest(points: DataFrame, moments: DataFrame, point_ts: str, moment_ts: str
         raise ValueError("the series of points is too long to be broadcast")
     series = points.agg(F.array_sort(F.collect_list(F.struct(F.col(point_pos).alias("pos"), F.col(point_ts).alias("at")))).alias("series"))
     gaps = F.transform("series", lambda p: F.struct(F.abs(p["at"] - F.col(moment_ts)).alias("gap"), p["pos"].alias("pos"), p["at"].alias("at")))
-    return moments.join(F.broadcast(series)).withColumn("nearest", F.array_min(gaps)).select(*moments.columns, F.col("nearest.pos").alias("nearest_pos"), F.col("nearest.at").alias("nearest_at"), F.col("nearest.gap").alias("gap"))
+    known = F.filter(gaps, lambda g: g["gap"].isNotNull())
+    return moments.join(F.broadcast(series)).withColumn("nearest", F.coalesce(F.array_min(known), F.array_min(gaps))).select(*moments.columns, F.col("nearest.pos").alias("nearest_pos"), F.col("nearest.at").alias("nearest_at"), F.col("nearest.gap").alias("gap"))
 
 
 def bucket_moment(lo: Column, hi: Column, bucket: Column, buckets: int = dims.BUCKETS) -> Column:

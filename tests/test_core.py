@@ -55,10 +55,21 @@ def test_pick_evenly_keeps_both_ends(spark):
 
 
 def test_pick_evenly_is_exact_over_many_range_partitions(spark, tmp_path):
+    rng = random.Random(5)
     spark.range(600_000, numPartitions=3).select((F.col("id") * 7919 % 600_000).alias("k"), (F.col("id") % 97).alias("v")).write.parquet(str(tmp_path / "t"))
     items = spark.read.parquet(str(tmp_path / "t"))
     want = [int(i * 599_999 / 19 + 0.5) for i in range(20)]
     assert sorted(r["k"] for r in history.pick_evenly(items, "k", 20).collect()) == want
+    points = history.pick_evenly(items, "k", 20).select("k", F.col("k").alias("at"))
+    moments = spark.createDataFrame([(m,) for m in rng.sample(range(600_000), 50)], "ts long")
+    for r in history.nearest(points, moments, "at", "ts", "k").collect():
+        assert (r["gap"], r["nearest_pos"]) == min((abs(w - r["ts"]), w) for w in want)
+
+
+def test_points_without_a_moment_are_never_the_nearest(spark):
+    points = spark.createDataFrame([(1, None), (2, 10)], "pos long, at long")
+    assert [tuple(r) for r in history.nearest(points, spark.createDataFrame([(7,)], "ts long"), "at", "ts", "pos").collect()] == [(7, 2, 10, 3)]
+    assert [r["id"] for r in history.pick_evenly(spark.createDataFrame([(None,), (1,), (2,)], "id long"), "id", 2).orderBy("id").collect()] == [None, 1]
 
 
 def test_hotspot_and_risk(spark):
