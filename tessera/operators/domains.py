@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 
 import pandas as pd
@@ -58,7 +59,7 @@ def modularity_groups(nodes: list[str], edges: list[tuple[str, str]]) -> dict[st
         weight[index[b]][index[a]] += 1.0
     of = list(range(len(nodes)))
     while True:
-        ids = sorted(set(of))
+        ids = sorted(weight)  # nodes without edges stay alone
         total = sum(sum(w.values()) for w in weight.values())
         if not total:
             break
@@ -84,7 +85,7 @@ def modularity_groups(nodes: list[str], edges: list[tuple[str, str]]) -> dict[st
                     moved = True
         if all(group[i] == i for i in ids):
             break
-        of = [group[g] for g in of]
+        of = [group.get(g, g) for g in of]
         folded: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
         for i, row in weight.items():
             for j, w in row.items():
@@ -98,27 +99,36 @@ def _folder(path: str) -> list[str]:
 
 
 def absorb_singles(groups: list[list[str]]) -> list[list[str]]:
-    """Each group of one joins the larger group whose common folder is the longest one above it (else the first)."""
+    """Each group of one joins the larger group whose common folder is the longest one above it (else the first).
+
+    Groups are looked up by folder, so the work grows with the paths, not with the groups times the groups of one.
+    """
     large = [g for g in groups if len(g) > 1]
     if not large:
         return groups
     common = []
     for g in large:
         parts = [_folder(p) for p in g]
-        common.append([a for i, a in enumerate(parts[0]) if all(p[: i + 1] == parts[0][: i + 1] for p in parts)])
+        first, last = min(parts), max(parts)  # what these two share, all share
+        n = 0
+        while n < min(len(first), len(last)) and first[n] == last[n]:
+            n += 1
+        common.append(first[:n])
+    below: dict[tuple[str, ...], list[int]] = defaultdict(list)  # folder to the groups whose common folder is it or below it
+    for i, c in enumerate(common):
+        for d in range(1, len(c) + 1):
+            below[tuple(c[:d])].append(i)  # in ascending order, so each list is a heap
     for (single,) in [g for g in groups if len(g) == 1]:
-        own, best, score = _folder(single), 0, -1
-        shared = []
-        for c in common:
-            n = 0
-            while n < min(len(c), len(own)) and c[n] == own[n]:
-                n += 1
-            shared.append(c[:n])
-        for i, s in enumerate(shared):
-            if s and len("/".join(s)) > score:
-                best, score = i, len("/".join(s))
+        own, best, depth = _folder(single), 0, 0
+        for d in range(len(own), 0, -1):
+            near = below.get(tuple(own[:d]), [])
+            while near and len(common[near[0]]) < d:  # the group's common folder has moved up since
+                heapq.heappop(near)
+            if near:
+                best, depth = near[0], d
+                break
         large[best].append(single)
-        common[best] = shared[best]
+        common[best] = own[:depth]
     return large
 
 

@@ -2,6 +2,7 @@
 
 import random
 import subprocess
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -187,6 +188,42 @@ def test_domains_partition_files():
     assert domains.absorb_singles([["a/b/x", "a/b/y"], ["c/x", "c/y"], ["c/z"]]) == [["a/b/x", "a/b/y"], ["c/x", "c/y", "c/z"]]
 
 
+def _absorb_by_scan(groups):
+    """Every group of one against every larger group."""
+    large = [g for g in groups if len(g) > 1]
+    folders = lambda p: [x for x in p.split("/")[:-1] if x]
+    shared = lambda a, b: a[: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))]
+    common = []
+    for g in large:
+        c = folders(g[0])
+        for p in g:
+            c = shared(c, folders(p))
+        common.append(c)
+    for (single,) in [g for g in groups if len(g) == 1]:
+        near = [shared(c, folders(single)) for c in common]
+        best = max(range(len(large)), key=lambda i: (len(near[i]), -i))
+        large[best].append(single)
+        common[best] = near[best]
+    return large or groups
+
+
+def test_groups_of_one_join_the_same_groups_as_by_a_scan():
+    rng = random.Random(2)
+    for _ in range(300):
+        paths = [f"{'/'.join(rng.choices('ab', k=rng.randrange(4)))}/{i}" for i in range(25)]
+        groups = []
+        while paths:
+            groups.append([paths.pop() for _ in range(min(len(paths), rng.choice([1, 1, 2, 3])))])
+        assert domains.absorb_singles([list(g) for g in groups]) == _absorb_by_scan([list(g) for g in groups])
+
+
+def test_groups_of_one_are_not_compared_with_every_group():
+    groups = [[f"d{i}/a", f"d{i}/b"] for i in range(20_000)] + [[f"d{i}/c"] for i in range(20_000)]
+    begun = time.perf_counter()
+    assert domains.absorb_singles(groups)[19_999] == ["d19999/a", "d19999/b", "d19999/c"]
+    assert time.perf_counter() - begun < 20  # 4e8 comparisons take minutes
+
+
 def test_project_end_to_end(spark, tmp_path):
     p = Project(spark, samples.frame(spark), AnalyzeOptions("demo", samples.CONFIG)).analyze()
     assert p.files.filter("path like 'node_modules%'").count() == 0
