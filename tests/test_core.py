@@ -92,6 +92,26 @@ def test_strong_components_against_brute_force(spark, small):
     assert {r["node"]: r["component"] for r in got.collect()} == want
 
 
+def _cuts(monkeypatch, most):
+    """Lets the graph operators make ``most`` intermediate tables."""
+    made, real = [], graph.cut
+
+    def counted(df):
+        made.append(1)
+        assert len(made) <= most, "a round for each step of a path"
+        return real(df)
+
+    monkeypatch.setattr(graph, "cut", counted)
+
+
+def test_long_cycles_take_few_rounds(spark, monkeypatch):
+    ring = [(i, (i + 1) % 600) for i in range(600)]
+    tail = [(1000 + i, 1001 + i) for i in range(400)] + [(1400, 7)]
+    _cuts(monkeypatch, 100)
+    got = graph.strong_components(spark.createDataFrame(ring + tail, "source long, target long"), 50)
+    assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(600)}
+
+
 def test_no_components_and_no_files(spark):
     e = spark.createDataFrame([("a", "b")], "source string, target string")
     assert graph.strong_components(e).count() == 0 and graph.strong_components(e, 0).count() == 0 and graph.strong_components(e.limit(0)).count() == 0
