@@ -112,6 +112,20 @@ def test_long_cycles_take_few_rounds(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(600)}
 
 
+def test_contracted_components_are_those_of_tarjan(spark, monkeypatch):
+    rng = random.Random(8)
+    ring = [(f"r{i}", f"r{(i + 1) % 90}") for i in range(90)]
+    fan = [(f"n{rng.randrange(120)}", f"n{i}") for i in range(120)]  # one edge in each
+    map_ = [(f"m{i}", f"m{rng.randrange(120)}") for i in range(120)]  # one edge out each
+    edges = sorted({(a, b) for a, b in [*ring, *fan, *map_, ("r5", "n1"), ("m3", "r7"), ("r8", "r3")] if a != b})
+    _cuts(monkeypatch, 100)
+    got = graph.cycles(graph.strong_components(spark.createDataFrame(edges, "source string, target string"), 20)).collect()
+    want = {}
+    for node, component in graph.tarjan(edges).items():
+        want.setdefault(component, []).append(node)
+    assert {r["cycle_id"]: (r["members"], r["size"]) for r in got} == {c: (sorted(m), len(m)) for c, m in want.items()}
+
+
 def test_no_components_and_no_files(spark):
     e = spark.createDataFrame([("a", "b")], "source string, target string")
     assert graph.strong_components(e).count() == 0 and graph.strong_components(e, 0).count() == 0 and graph.strong_components(e.limit(0)).count() == 0
