@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.functions import dims
+from tessera.functions.tables import cut
 from tessera.operators import build, domains, graph, history, parse, resolve, summary, text, viz
 from tessera.plans import adapters as A
 from tessera.plans import samples
@@ -377,14 +378,13 @@ def _part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.admit(A.part_code(spark, sf_dir))
 
 
-def _part_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _part_files(spark, sf_dir)
-    found = parse.parse(files).select("path", F.posexplode("imports").alias("pos", "i")).select("path", "pos", "i.specifier", "i.kind", "i.line")
+def _part_imports(parsed: DataFrame, files: DataFrame) -> DataFrame:
+    found = parsed.select("path", F.posexplode("imports").alias("pos", "i")).select("path", "pos", "i.specifier", "i.kind", "i.line")
     return resolve.resolve_imports(found, files.select("path"))
 
 
-def _part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.parse(_part_files(spark, sf_dir)).select("path", F.posexplode("symbols").alias("pos", "s")).select("path", "pos", "s.id", "s.name", "s.kind", "s.exported", "s.calls")
+def _part_symbols(parsed: DataFrame) -> DataFrame:
+    return parsed.select("path", F.posexplode("symbols").alias("pos", "s")).select("path", "pos", "s.id", "s.name", "s.kind", "s.exported", "s.calls")
 
 
 # What the files made of parts say, in SQL: k is a file's own number, n that of the file that it imports and calls.
@@ -412,12 +412,13 @@ def parse_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_CODE} select path, specifier, kind, resolved from said")
 def resolve_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _part_imports(spark, sf_dir).select("path", "specifier", "kind", "resolved")
+    files = _part_files(spark, sf_dir)
+    return _part_imports(parse.parse(files), files).select("path", "specifier", "kind", "resolved")
 
 
 @query(f"with {_CODE} select id source, callee target from own where id <> callee")
 def resolve_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolve_calls(_part_symbols(spark, sf_dir))
+    return resolve.resolve_calls(_part_symbols(cut(parse.parse(_part_files(spark, sf_dir)).select("path", "symbols"))))
 
 
 @query(f"""with {_CODE}, e as (select path source, split_part(path, '/', 1) target, 'member-of' as type from own union all select path, id, 'contains' from own union all select id, callee, 'calls' from own
@@ -437,12 +438,12 @@ def part_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    parsed = parse.parse(_part_files(spark, sf_dir))
+    parsed = cut(parse.parse(_part_files(spark, sf_dir)).select("path", "language", "complexity", "imports", "symbols"))  # parsed once for all planes
     files = parsed.select("path", "language", F.lit(0).alias("loc"), "complexity", F.lit(0).alias("issues"))
     members = domains.by_directory(files)
     named = members.groupBy(F.col("domain").alias("id")).agg(F.count(F.lit(1)).alias("size")).select("id", F.col("id").alias("label"), "size", F.lit("").alias("color"))
     none = spark.createDataFrame([], "source string, target string")
-    return build.build(files, _part_symbols(spark, sf_dir), _part_imports(spark, sf_dir), members, named, none, max_symbols=None)
+    return build.build(files, _part_symbols(parsed), _part_imports(parsed, parsed), members, named, none, max_symbols=None)
 
 
 @query()

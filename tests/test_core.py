@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import domains, export, graph, history, parse, resolve, summary, text, viz
-from tessera.plans import samples
+from tessera.plans import catalog, samples
 from tessera.plans.project import AnalyzeOptions, Project
 from tessera.sources import files as file_source
 from tessera.sources import gitlog, projectconfig
@@ -198,6 +198,12 @@ def test_resolver_orders(spark):
     assert got == want
 
 
+def test_part_graph_parses_its_files_once(spark):
+    for name in ("part_graph_nodes", "part_graph_edges"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapIn" not in plan  # the parsed files were written before, all planes read them
+
+
 def test_parsers_survive_odd_text():
     for language in ("python", "javascript", "go", "rust", "java"):
         for content in ("", None, "{{{{", "'\"`", "def (", "import", "\x00", "fn f(", "class {"):
