@@ -1,6 +1,7 @@
 """Imports to files and calls to symbols, as joins over ordered candidates.
 
-Each import makes a short ordered array of candidate keys; one join with the file keys and the smallest priority decide.
+Each import makes a short ordered array of candidate keys; one join with the file keys and the smallest priority decide. What a
+script's specifier may lack isn't spelt out by each import: the file offers the shorter keys.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ class ResolverConfig:
 
 
 def _tries(base: Column) -> list[Column]:
-    """A path as it is, with each ending, then as a folder's index with each ending."""
-    return [base, *[F.concat(base, F.lit(e)) for e in SCRIPT_ENDINGS], *[F.concat(base, F.lit("/index" + e)) for e in SCRIPT_ENDINGS]]
+    """A path as it is, then all that it may lack at once: files are keyed by what their endings leave, see ``file_keys``."""
+    return [base, F.concat(F.lit("try:"), base)]
 
 
 def _with_stripped(base: Column) -> list[Column]:
@@ -98,8 +99,15 @@ def _rust(spec: Column, path: Column) -> Column:
 
 
 def file_keys(files: DataFrame, config: ResolverConfig) -> DataFrame:
-    """``(key, target)``: what candidates may name a file by: its path, a Python module, a Java class, a Go package."""
+    """``(key, rank, target)``: what candidates may name a file by: its path, the path without its ending or as a folder's
+    index, a Python module, a Java class, a Go package. ``rank`` is the place of the ending, with those of an index after all others."""
     path = F.col("path")
+    ending = F.concat(F.lit("."), F.substring_index(path, ".", -1))
+    rank = F.array_position(F.array(*[F.lit(e) for e in SCRIPT_ENDINGS]), ending).cast("int")
+    stem = F.substr(path, F.lit(1), F.length(path) - F.length(ending))
+    index = F.when(stem.endswith("/index"), F.struct(F.substr(stem, F.lit(1), F.length(stem) - 6).alias("stem"), (rank + len(SCRIPT_ENDINGS)).alias("rank")))
+    script = files.filter(F.contains(path, F.lit(".")) & (rank > 0)).select(path.alias("target"), F.explode(F.array(F.struct(stem.alias("stem"), rank.alias("rank")), index)).alias("k")).filter("k is not null")
+    script = script.select(F.concat(F.lit("try:"), "k.stem").alias("key"), "k.rank", "target")
     plain = files.select(path.alias("key"), path.alias("target"))
     module = F.replace(F.regexp_replace(F.regexp_replace(path, r"\.pyi?$", ""), r"/__init__$", ""), F.lit("/"), F.lit("."))
     py = files.filter(path.rlike(r"\.pyi?$")).select(path, F.explode(F.array(module, F.when(F.contains(module, F.lit(".")), F.regexp_replace(module, r"^[^.]*\.", "")))).alias("m")).filter("m is not null")
@@ -107,9 +115,9 @@ def file_keys(files: DataFrame, config: ResolverConfig) -> DataFrame:
     bare = F.coalesce(*[F.when(path.startswith(r), F.substr(path, F.lit(len(r) + 1))) for r in JAVA_ROOTS], path)
     java = files.filter(path.endswith(".java")).groupBy(F.concat(F.lit("java:"), F.replace(F.regexp_replace(bare, r"\.java$", ""), F.lit("/"), F.lit("."))).alias("key")).agg(F.max("path").alias("target"))
     folder = C.dirname(path)
-    rank = F.when(C.basename(path) == F.concat(C.basename(folder), F.lit(".go")), 0).when(~path.endswith("_test.go"), 1).otherwise(2)
-    go = files.filter(path.endswith(".go")).groupBy(F.concat(F.lit("go:"), folder).alias("key")).agg(F.min(F.struct(rank.alias("r"), "path")).alias("m")).select("key", F.col("m.path").alias("target"))
-    return plain.unionByName(python).unionByName(java).unionByName(go)
+    main = F.when(C.basename(path) == F.concat(C.basename(folder), F.lit(".go")), 0).when(~path.endswith("_test.go"), 1).otherwise(2)
+    go = files.filter(path.endswith(".go")).groupBy(F.concat(F.lit("go:"), folder).alias("key")).agg(F.min(F.struct(main.alias("r"), "path")).alias("m")).select("key", F.col("m.path").alias("target"))
+    return plain.unionByName(python).unionByName(java).unionByName(go).select("key", F.lit(0).alias("rank"), "target").unionByName(script)
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, config: ResolverConfig | None = None) -> DataFrame:
@@ -126,7 +134,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, config: ResolverConfig
         .otherwise(_script(spec, path, config))
     )
     tried = imports.select("path", "pos", F.posexplode(candidates).alias("prio", "key")).filter("key is not null")
-    hit = tried.join(file_keys(files, config), "key").groupBy("path", "pos").agg(F.min_by("target", "prio").alias("resolved"))
+    hit = tried.join(file_keys(files, config), "key").groupBy("path", "pos").agg(F.min_by("target", F.struct("prio", "rank")).alias("resolved"))
     joined = imports.drop("resolved").join(hit, ["path", "pos"], "left")
     return joined.withColumn("kind", F.when(F.col("resolved").isNotNull(), F.lit("internal")).otherwise(F.col("kind")))
 

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Files made of parts that one task reads: a second or two of parsing.
+PARTS_A_TASK = 10_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,8 +78,11 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as source files ``(path, content)``: even keys are JavaScript, odd ones Python. Each imports the next of its kind (the
-    last one the first) and a package, and has one function, documented where the size is even, which calls the next file's."""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("s"), (F.col("p_size") % 2 == 0).alias("even"))
+    last one the first) and a package, and has one function, documented where the size is even, which calls the next file's.
+
+    The files are far larger than the rows that they are made of, which come in one split, so the rows are dealt out first."""
+    rows = table(spark, sf_dir, "part")
+    part = rows.repartition(-(-rows.count() // PARTS_A_TASK) or 1, "p_partkey").select("p_partkey", F.col("p_size").cast("string").alias("s"), (F.col("p_size") % 2 == 0).alias("even"))
     top = part.agg(F.max("p_partkey").alias("top"))
     k, n = F.col("p_partkey"), F.when(F.col("p_partkey") + 2 <= F.col("top"), F.col("p_partkey") + 2).otherwise(F.col("p_partkey") % 2).cast("string")
     script = F.concat(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import domains, export, graph, history, parse, resolve, summary, text, viz
-from tessera.plans import catalog, samples
+from tessera.plans import adapters, catalog, samples
 from tessera.plans.project import AnalyzeOptions, Project
 from tessera.sources import files as file_source
 from tessera.sources import gitlog, projectconfig
@@ -204,6 +204,34 @@ def test_part_graph_parses_its_files_once(spark):
         assert "MapIn" not in plan  # the parsed files were written before, all planes read them
 
 
+def test_parts_are_dealt_out_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "PARTS_A_TASK", 50, raising=False)
+    assert adapters.part_code(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_endings_are_tried_in_order(spark):
+    rng = random.Random(4)
+    endings = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".json", ".css", ".scss"]
+    tails = ["", *endings, *[f"/index{e}" for e in endings], ".go"]
+    names = ["a", "b/a", "b", "index", "b/index"]
+    paths = sorted({rng.choice(names) + rng.choice(tails) for _ in range(60)})
+    specs = [f"./{n}{t}" for n in names for t in ("", ".js", ".mjs", ".ts", "/index")]
+
+    def tries(base):
+        return [base, *[base + e for e in endings], *[f"{base}/index{e}" for e in endings]]
+
+    want = {}
+    for s in specs:
+        base = s[2:]
+        order = tries(base) + (tries(base.rsplit(".", 1)[0]) if base.endswith((".js", ".mjs")) else [])
+        want[s] = next((p for p in order if p in paths), None)
+    imports = spark.createDataFrame([("x.js", i, s, "external", 1) for i, s in enumerate(specs)], "path string, pos int, specifier string, kind string, line int")
+    got = resolve.resolve_imports(imports, spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert {r["specifier"]: r["resolved"] for r in got.collect()} == want
+    widest = imports.sparkSession.range(1).select(F.size(resolve._script(F.lit("./a"), F.lit("x.js"), resolve.ResolverConfig())).alias("n")).first()["n"]
+    assert widest <= 4  # not one candidate an ending
+
+
 def test_parsers_survive_odd_text():
     for language in ("python", "javascript", "go", "rust", "java"):
         for content in ("", None, "{{{{", "'\"`", "def (", "import", "\x00", "fn f(", "class {"):
