@@ -12,6 +12,9 @@ from tessera.functions import columns as C
 from tessera.functions import dims
 from tessera.functions.tables import cut
 
+#: Rows above which commits are dealt out by their number, and the rows that a task gets then.
+MANY_COMMIT_ROWS, COMMIT_ROWS_A_TASK = 1_000_000, 250_000
+
 
 def known_only(commits: DataFrame, files: DataFrame) -> DataFrame:
     """Commit rows of known paths, before anything is counted."""
@@ -34,11 +37,20 @@ def pair_counts(commits: DataFrame, max_files: int = dims.MAX_COMMIT_FILES) -> D
 
     Large commits are dropped by a semi join before their paths are gathered, so no array grows with a commit, which makes
     ``max_files``^2 / 2 pairs at most. A commit's paths are one small array, and pairs come from it without a self join.
+    Many rows are dealt to tasks by their number, commits first and then pairs, so that what one task counts doesn't grow with
+    the input; pairs of few paths are few, and are counted where they are made.
     """
+    size = commits.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("path").alias("paths")).first()
+    tasks = -(-size["rows"] // COMMIT_ROWS_A_TASK) if size["rows"] > MANY_COMMIT_ROWS else 0
+    if tasks:
+        commits = commits.select("sha", "path").repartition(tasks, "sha")
     per = _gate_small(commits, max_files).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("path").isNotNull(), F.col("path"))).alias("paths"))
     gated = per.filter(F.col("n").between(2, max_files)).select(F.array_sort("paths").alias("p"))
     pairs = F.flatten(F.transform("p", lambda a, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return gated.select(F.explode(pairs).alias("x")).groupBy("x.a", "x.b").agg(F.count(F.lit(1)).alias("shared"))
+    every = gated.select(F.explode(pairs).alias("x")).select("x.a", "x.b")
+    if tasks and size["paths"] ** 2 // 2 > COMMIT_ROWS_A_TASK:
+        every = every.repartition(tasks, "a", "b")
+    return every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def _gate_small(commits: DataFrame, max_files: int) -> DataFrame:

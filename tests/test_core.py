@@ -3,6 +3,8 @@
 import random
 import subprocess
 import time
+from collections import Counter
+from itertools import combinations
 
 import pytest
 from hypothesis import given, settings
@@ -40,6 +42,22 @@ def test_repeated_paths_in_a_commit_count_towards_the_gate(spark):
     assert history.pair_counts(df).count() == 0
 
 
+def test_many_commits_are_dealt_out_by_their_number(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(f"c{rng.randrange(60)}", f"p{rng.randrange(40)}") for _ in range(400)] + [("big", f"p{i}") for i in range(26)] + [("c1", None)]
+    monkeypatch.setattr(history, "MANY_COMMIT_ROWS", 100, raising=False)
+    monkeypatch.setattr(history, "COMMIT_ROWS_A_TASK", 50, raising=False)
+    got = history.pair_counts(spark.createDataFrame(rows, "sha string, path string"))
+    by, want = {}, Counter()
+    for sha, path in rows:
+        by.setdefault(sha, []).append(path)
+    for paths in by.values():
+        if 2 <= len(paths) <= 25:
+            want.update(combinations(sorted({p for p in paths if p}), 2))
+    assert {(r["a"], r["b"]): r["shared"] for r in got.collect()} == want
+    assert got.rdd.getNumPartitions() == 9  # 427 rows, 50 a task
+
+
 def test_timeline_sums_to_commits(spark):
     times = spark.createDataFrame([(i * 37 % 1000,) for i in range(200)], "ts long")
     per = history.commits_per_bucket(times).collect()
